@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .simhash import op10_simhash
 from .token_files import op4_token_files
 
 QUERIES = {
     "op4_token_files": op4_token_files,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
