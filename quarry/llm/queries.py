@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .packing import op6_packing
 from .simhash import op10_simhash
 from .token_files import op4_token_files
 
 QUERIES = {
     "op4_token_files": op4_token_files,
+    "op6_packing": op6_packing,
     "op10_simhash": op10_simhash,
 }
 
