@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from . import mixing, sharding
+from .mixing import op9_mixing
 from .packing import op6_packing
+from .sharding import op8_sharding
 from .simhash import op10_simhash
 from .token_files import op4_token_files
 
 QUERIES = {
     "op4_token_files": op4_token_files,
     "op6_packing": op6_packing,
+    "op8_sharding": op8_sharding,
+    "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_sharding": sharding.SQL,
+    "op9_mixing": mixing.SQL,
+}
