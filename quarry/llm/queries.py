@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import mixing, sharding
 from .mixing import op9_mixing
 from .packing import op6_packing
+from .quality import op7_quality_rules
 from .sharding import op8_sharding
 from .simhash import op10_simhash
 from .token_files import op4_token_files
@@ -12,6 +13,7 @@ from .token_files import op4_token_files
 QUERIES = {
     "op4_token_files": op4_token_files,
     "op6_packing": op6_packing,
+    "op7_quality_rules": op7_quality_rules,
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
