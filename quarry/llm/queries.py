@@ -9,9 +9,11 @@ from .quality import op7_quality_rules
 from .sharding import op8_sharding
 from .simhash import op10_simhash
 from .token_files import op4_token_files
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op4_token_files": op4_token_files,
+    "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_sharding": op8_sharding,
