@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import licenses, mixing, sharding
+from .licenses import op3_licenses
 from .mixing import op9_mixing
 from .packing import op6_packing
 from .quality import op7_quality_rules
@@ -12,6 +13,7 @@ from .token_files import op4_token_files
 from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op3_licenses": op3_licenses,
     "op4_token_files": op4_token_files,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
@@ -22,6 +24,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_licenses": licenses.SQL,
     "op8_sharding": sharding.SQL,
     "op9_mixing": mixing.SQL,
 }
