@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, sharding
+from . import bitslice, licenses, mixing, sharding
+from .bitslice import op2_bit_slices
 from .licenses import op3_licenses
 from .mixing import op9_mixing
 from .packing import op6_packing
@@ -13,6 +14,7 @@ from .token_files import op4_token_files
 from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op2_bit_slices": op2_bit_slices,
     "op3_licenses": op3_licenses,
     "op4_token_files": op4_token_files,
     "op5_toxicity": op5_toxicity,
@@ -24,6 +26,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_bit_slices": bitslice.SQL,
     "op3_licenses": licenses.SQL,
     "op8_sharding": sharding.SQL,
     "op9_mixing": mixing.SQL,
