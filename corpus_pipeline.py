@@ -1,23 +1,66 @@
-"""The corpus pipeline: toxicity, quality rules, SimHash near-dedup, mixing to target weights, packing."""
+"""The corpus pipeline: toxicity, quality rules, SimHash near-dedup, mixing to target weights, packing.
+
+Each stage works on all that the one before it kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import mixing, packing, quality, simhash, toxicity
+from quarry.llm.shared import staged
+
+
+def _columns(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model does not call toxic; it learns from labels that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~toxicity.held_out(F.col("doc_id")))
+    return toxicity.train(docs, labels).score(docs).filter("predicted = 0").select(*_columns(docs))
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base limits nor the learned rules reject."""
+    rules = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.assess(docs, rules).filter("kept").select(*_columns(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that with the smallest doc_id."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's rate draws it, in shuffled order; small sources are lifted."""
+    return mixing.replicate(docs, mixing.tempered_weights(docs)).select(*_columns(docs))
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of 2048 tokens."""
+    import public_tokenizers
+
+    return packing.packed_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+
 
 #: (name, function of (spark, docs, sf_dir)).
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_rules", drop_low_quality),
+    ("simhash", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_windows),
+]
 
-#: The stages learn their models and count in hashes that SQL does not have; tests hold them against brute force.
+#: The first stages learn their models, which SQL cannot; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents of ``sf_dir``."""
-    from quarry.llm.shared import staged
-
+    """Applies the stages to the documents of ``sf_dir``, each written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = staged(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitslice, licenses, mixing, sharding
+from . import bitslice, licenses, mixing, sharding, warc
 from .bitslice import op2_bit_slices
 from .licenses import op3_licenses
 from .mixing import op9_mixing
@@ -12,8 +12,10 @@ from .sharding import op8_sharding
 from .simhash import op10_simhash
 from .token_files import op4_token_files
 from .toxicity import op5_toxicity
+from .warc import op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_bit_slices": op2_bit_slices,
     "op3_licenses": op3_licenses,
     "op4_token_files": op4_token_files,
@@ -26,6 +28,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": warc.SQL,
     "op2_bit_slices": bitslice.SQL,
     "op3_licenses": licenses.SQL,
     "op8_sharding": sharding.SQL,
