@@ -173,8 +173,9 @@ def _search_cell(block, queries: pd.DataFrame, k: int):
     valid[: len(ids)] = 1
     valid = np.packbits(valid, bitorder="little").view(np.uint64)
     for q in queries.itertuples():
-        values = np.frombuffer(q.q_values, "<i8").reshape(-1, block.dims)
-        for query_id, query in zip(np.frombuffer(q.q_ids, "<i8").tolist(), values, strict=True):
+        query_ids = np.frombuffer(q.q_ids, "<i8")
+        values = np.frombuffer(q.q_values, "<i8").reshape(len(query_ids), block.dims)
+        for query_id, query in zip(query_ids.tolist(), values, strict=True):
             scores, constant = score_slices(slices, query)
             rows = valid.copy()
             a, b = np.searchsorted(ids, [query_id, query_id + 1])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import staged
-from .words import let
+from .words import free_name, let
 
 #: Tables of at most this many sources (a row has at most about 4 KB) are broadcast, larger ones are shuffled.
 BROADCAST_SOURCES = 2000
@@ -41,7 +41,7 @@ def rates(docs: DataFrame, weights: DataFrame, by: str = "source", scale: float
     """
     sizes = docs.groupBy(by).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).cast("double").alias("bytes"))
     other = weights.select(F.col(by).alias("w_by"), F.col("weight").cast("double").alias("weight"))
-    both = sizes.join(other, sizes[by].eqNullSafe(other["w_by"]), "left").select(by, "bytes", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    both = sizes.join(other, sizes[by].eqNullSafe(other["w_by"]), "left").select(sizes[by], "bytes", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     total = both.agg(F.sum("bytes").alias("bytes"), F.sum("weight").alias("weight")).first()
     share = F.col("weight") / F.lit(total["weight"] or 1.0) * F.lit((total["bytes"] or 0.0) * scale)
     return both.select(by, F.coalesce(F.round(F.try_divide(share, F.col("bytes")), 9), F.lit(0.0)).alias("rate"))
@@ -62,21 +62,19 @@ def replicate(docs: DataFrame, weights: DataFrame, by: str = "source", scale: fl
     also where doc_id is null. Null and empty texts are drawn like others of their source. Columns
     named copy or n_copies are replaced. An empty table stays empty.
     """
-    rate = rates(docs, weights, by, scale)
-    table = (
-        rate.withColumn("q_parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
-        .withColumn("q_mean", F.col("rate") / F.col("q_parts"))
-        .select(F.col(by).alias("q_by"), "q_parts", distribution(F.col("q_mean")).alias("q_sums"))
-    )
-    table = staged(table, "rates")
+    q_by, q_parts, q_sums = (free_name(docs, n) for n in ("q_by", "q_parts", "q_sums"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")
+    rate = rates(docs, weights, by, scale).withColumn("parts", parts)
+    table = staged(rate.select(F.col(by).alias(q_by), F.col("parts").alias(q_parts), distribution(F.col("rate") / F.col("parts")).alias(q_sums)), "rates")
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    draw = lambda part: let(_uniform(F.lit(seed), key, part.cast("string")), lambda u: F.size(F.filter("q_sums", lambda s: s <= u)))
-    counted = docs.join(table, docs[by].eqNullSafe(table["q_by"])).withColumn("n_copies", F.aggregate(F.sequence(F.lit(1), F.col("q_parts")), F.lit(0), lambda acc, k: acc + draw(k)))
+    draw = lambda part: let(_uniform(F.lit(seed), key, part.cast("string")), lambda u: F.size(F.filter(q_sums, lambda s: s <= u)))
+    n = F.aggregate(F.sequence(F.lit(1), F.col(q_parts)), F.lit(0), lambda acc, k: acc + draw(k))
+    counted = docs.join(table, docs[by].eqNullSafe(table[q_by])).withColumn("n_copies", n)
     copies = counted.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     order = F.xxhash64(F.lit(seed), key, "copy", "text")
-    return copies.drop("q_by", "q_parts", "q_sums").repartition(order).sortWithinPartitions(order)
+    return copies.drop(q_by, q_parts, q_sums).repartition(order).sortWithinPartitions(order)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

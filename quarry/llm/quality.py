@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import staged
-from .words import SPACE, UPPER, let, windows, words
+from .words import SPACE, UPPER, free_name, let, windows, words
 
 #: Labelled rows that the list is learned from: those with the smallest hashes of their doc_id.
 MAX_LABELLED = 20_000
@@ -48,13 +48,14 @@ def with_statistics(docs: DataFrame, name: str = "q_stats") -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     by_words = let(words(text), lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("r")))
     by_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
-    first = docs.withColumn("q_words", by_words).withColumn("q_lines", by_lines)
+    q_words, q_lines = free_name(docs, "q_words"), free_name(docs, "q_lines")
+    first = docs.withColumn(q_words, by_words).withColumn(q_lines, by_lines)
     counts = {
-        "n_words": F.col("q_words.n"), "word_chars": F.length(F.translate(text, SPACE, "")), "n_symbols": _count(text, SYMBOLS),
-        "n_dup_lines": F.col("q_lines.d"), "n_repeat_words": F.col("q_words.r"), "n_lines": F.col("q_lines.n"),
+        "n_words": F.col(f"{q_words}.n"), "word_chars": F.length(F.translate(text, SPACE, "")), "n_symbols": _count(text, SYMBOLS),
+        "n_dup_lines": F.col(f"{q_lines}.d"), "n_repeat_words": F.col(f"{q_words}.r"), "n_lines": F.col(f"{q_lines}.n"),
         "n_upper": _count(text, UPPER), "n_digits": _count(text, "0123456789"), "n_marks": _count(text, "!?"),
     }
-    return first.withColumn(name, F.struct(*[counts[k].cast("long").alias(k) for k in _STATS])).drop("q_words", "q_lines")
+    return first.withColumn(name, F.struct(*[counts[k].cast("long").alias(k) for k in _STATS])).drop(q_words, q_lines)
 
 
 def features(name: str = "q_stats") -> dict[str, Column]:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import staged
+from .words import free_name
 
 #: Labelled rows that are used at most: those with the smallest hashes of their doc_id.
 MAX_LABELLED = 20_000
@@ -38,6 +39,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _OBFUSCATED = re.compile(r"[^\W\d_]+(?:[@$*!0-9]+[^\W\d_]+)+")
 _RUN = re.compile(r"([^\W\d_])\1{3,}")
 _NEAR = 5
+_OWN = ("t_features", "t_raw", "t_probability", "t_prediction", "t_margin")
 _MEMO = 500_000
 FEATURES = ["insults", "learned", "learned_weight", "learned_texts", "near_person", "person", "capitals", "capital_words", "exclaims", "asks", "marks", "obfuscated", "uncovered", "runs", "log_words", "word_length"]
 
@@ -130,8 +132,9 @@ class ToxicityModel:
         if self.trees is None:
             scored = plain.withColumn("score", F.lit(self.share))
         else:
-            scored = self.calibration.transform(_raw(plain, self.units, self.trees)).drop("t_features", "t_raw")
-            scored = scored.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))))
+            aside = {c: free_name(docs, c) for c in _OWN if c in plain.columns}  # columns named as the model's own
+            scored = self.calibration.transform(_raw(plain.withColumnsRenamed(aside), self.units, self.trees)).drop("t_features", "t_raw")
+            scored = scored.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))).withColumnsRenamed({v: k for k, v in aside.items()})
         return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
