@@ -32,7 +32,7 @@ REVISIT_BYTES = 100
 BROADCAST_ROWS = 50_000
 _HEADER_BYTES = 1 << 16
 _GZIP = b"\x1f\x8b\x08"
-_START = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/\d\.\d\r\n")
+_START = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")  # damage may have taken the end of the line before
 _VERSION = re.compile(rb"WARC/\d\.\d\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "file string, n_records long, n_bytes long"
