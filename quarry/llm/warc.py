@@ -121,6 +121,8 @@ def _plain(buf, start: int, stop: int) -> Record:
     if ends < 0:
         raise Broken("header without end")
     headers: dict[str, str] = {}
+    if _VERSION.search(buf, version.end(), ends + 2):
+        raise Broken("header runs into another record")
     for line in bytes(buf[version.end() : ends]).split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:

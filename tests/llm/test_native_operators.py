@@ -10,7 +10,7 @@ from quarry.llm.license_texts import KNOWN, MIT
 
 def test_canonical_form_unites_spellings(spark, make_docs):
     other = MIT.replace("Copyright (c) <year> <copyright holders>", "// Copyright 2031 Some One\n(c) Another").upper().replace("SUBLICENSE", "sub-licence").replace('"', "“")
-    docs = make_docs([(1, MIT, "a"), (2, other, "a"), (3, MIT + " and more", "a"), (4, "x\n  released under the mit LICENCE!\ny", "a"), (5, "Copyright 2020 x\n...", "a"), (6, None, "a"), (7, "", "a")])
+    docs = make_docs([(1, MIT, "a"), (2, other, "a"), (3, MIT + " and more", "a"), (4, "(c) x\n  released under the mit LICENCE!\ny", "a"), (5, "Copyright 2020 x\n...", "a"), (6, None, "a"), (7, "", "a")])
     got = licenses.scan(docs, licenses.builtin_licenses(spark)).collect()
     whole = {r.doc_id: r.license_id for r in got if r.line_no is None}
     assert whole == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: None, 6: None, 7: None}
