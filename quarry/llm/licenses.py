@@ -10,13 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .license_texts import KNOWN
-from .words import LOWER, UPPER, ascii_lower
+from .words import let
 
 #: A line that starts with one of these, after any comment marks, is a copyright line.
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
-#: Marks outside ASCII that are punctuation; every other character above ASCII counts as a letter.
-MARKS = "“”„‘’‚–—―«»‹›…•·©®™  　"
-OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+#: What is not a letter or digit: ASCII marks and, beyond ASCII, quotation marks, dashes and the like; line feeds are kept.
+OTHER = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f“”„‘’‚–—―«»‹›…•·©®™\x{a0}\x{2009}\x{3000}]+"
 #: Spellings that licence matching treats as equal, after punctuation has gone.
 SPELLINGS = [
     ("licence", "license"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"), ("judgement", "judgment"), ("per cent", "percent"),
@@ -26,18 +25,33 @@ SPELLINGS = [
 ]
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of an entire text; empty if nothing is left of it, null for null."""
-    plain = F.regexp_replace(ascii_lower(text), COPYRIGHT_LINE, "\n")
-    plain = F.regexp_replace(F.translate(plain, MARKS, " " * len(MARKS)), OTHER, " ")
+def _plain_lines(text: Column) -> Column:
+    """The text in lower case without copyright lines, its words parted by single spaces, its lines kept."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "$1"), OTHER, " ")
+
+
+def _spelled(plain: Column) -> Column:
     for other, one in SPELLINGS:
         plain = F.replace(plain, F.lit(other), F.lit(one))
     return F.trim(plain)
 
 
+def _one_line(lines: Column) -> Column:
+    return F.regexp_replace(F.replace(lines, F.lit("\n"), F.lit(" ")), " {2,}", " ")
+
+
+def _hashed(form: Column) -> Column:
+    return F.sha2(F.nullif(form, F.lit("")), 256)
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form of an entire text; empty if nothing is left of it, null for null."""
+    return _spelled(_one_line(_plain_lines(text)))
+
+
 def digest(text: Column) -> Column:
     """SHA-256 of the canonical form in hexadecimal; null if the form is empty or the text null."""
-    return F.sha2(F.nullif(canonical(text), F.lit("")), 256)
+    return _hashed(canonical(text))
 
 
 def known_digests(known: DataFrame) -> DataFrame:
@@ -60,11 +74,13 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     The known table is joined by hash: Spark broadcasts it while it is small and shuffles it beyond.
     """
     table = known_digests(known)
-    whole = docs.select("doc_id", F.lit(None).cast("int").alias("line_no"), digest(F.col("text")).alias("digest")).join(table, "digest", "left")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    hits = lines.select("doc_id", (F.col("k") + 1).alias("line_no"), digest(F.col("line")).alias("digest")).join(table, "digest")
-    names = ["doc_id", "line_no", "digest", "license_id"]
-    return whole.select(*names).unionByName(hits.select(*names))
+    unit = lambda n, form: F.struct(n.cast("int").alias("line_no"), _hashed(form).alias("digest"))
+    whole = lambda x: F.array(unit(F.lit(None), _spelled(_one_line(x))))
+    lines = lambda x: F.transform(F.split(x, "\n"), lambda line, k: unit(k + 1, _spelled(line)))
+    both = let(_plain_lines(F.col("text")), lambda x: F.concat(whole(x), F.coalesce(lines(x), F.array().cast("array<struct<line_no:int,digest:string>>"))))
+    units = docs.select("doc_id", F.explode(both).alias("u")).select("doc_id", "u.line_no", "u.digest")
+    found = units.join(known_digests(known), "digest", "left")
+    return found.filter("line_no IS NULL OR license_id IS NOT NULL").select("doc_id", "line_no", "digest", "license_id")
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,22 +92,24 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _sql_digest(column: str) -> str:
-    plain = f"regexp_replace(translate({column}, '{UPPER}', '{LOWER}'), {_quoted(COPYRIGHT_LINE)}, chr(10), 'g')"
-    plain = f"regexp_replace(translate({plain}, '{MARKS}', '{' ' * len(MARKS)}'), {_quoted(OTHER)}, ' ', 'g')"
+def _sql_lines(column: str) -> str:
+    return f"regexp_replace(regexp_replace(lower({column}), {_quoted(COPYRIGHT_LINE)}, '\\1', 'g'), {_quoted(OTHER)}, ' ', 'g')"
+
+
+def _sql_digest(plain: str) -> str:
     for other, one in SPELLINGS:
         plain = f"replace({plain}, '{other}', '{one}')"
     return f"sha256(nullif(trim({plain}), ''))"
 
 
+_WHOLE = _sql_digest("regexp_replace(replace(plain, chr(10), ' '), ' {2,}', ' ', 'g')")
 SQL = f"""
 WITH texts(license_id, text) AS (VALUES {", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in KNOWN)}),
-known AS (SELECT {_sql_digest("text")} AS digest, min(license_id) AS license_id FROM texts GROUP BY 1),
-lines AS (
-  SELECT doc_id, generate_subscripts(l, 1)::INTEGER AS line_no, unnest(l) AS line
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+known AS (SELECT {_WHOLE} AS digest, min(license_id) AS license_id FROM (SELECT license_id, {_sql_lines("text")} AS plain FROM texts) GROUP BY 1),
+d AS (SELECT doc_id, {_sql_lines("text")} AS plain FROM documents),
+lines AS (SELECT doc_id, generate_subscripts(l, 1)::INTEGER AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(plain, chr(10)) AS l FROM d)),
 digests AS (
-  SELECT doc_id, NULL::INTEGER AS line_no, {_sql_digest("text")} AS digest FROM documents
+  SELECT doc_id, NULL::INTEGER AS line_no, {_WHOLE} AS digest FROM d
   UNION ALL
   SELECT doc_id, line_no, {_sql_digest("line")} FROM lines)
 SELECT doc_id, line_no, d.digest, license_id FROM digests d LEFT JOIN known k ON d.digest = k.digest
