@@ -39,7 +39,7 @@ def commit_log(lines: DataFrame, line: str = "line") -> DataFrame:
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:
     """Evaluation questions from JSON files, each an array or an object with ``questions``."""
-    item = QUESTION.simpleString()
+    item = f"struct<{QUESTION}>"
     raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json")
     listed = F.coalesce(F.from_json("value", f"struct<questions:array<{item}>>")["questions"], F.from_json("value", f"array<{item}>"))
     return raw.select(F.explode(listed).alias("q")).select("q.*")

@@ -8,14 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
 
 from ..operators import analytics
 
 DEBOUNCE_SECONDS = 2
 
 
-def json_stream(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+def json_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(folder)
 
 
