@@ -69,3 +69,22 @@ def or_default(value: Column, default: Column) -> Column:
 def distinct_kept(items: Column) -> Column:
     """Distinct items that are neither null nor empty, in order of first appearance."""
     return F.array_distinct(F.filter(items, lambda x: x.isNotNull() & (x != "")))
+
+
+def key_hash(key: Column) -> Column:
+    """How an API key is stored: its SHA-256."""
+    return F.sha2(key, 256)
+
+
+def key_prefix(key: Column) -> Column:
+    """What is shown of a stored key."""
+    return F.substring(key, 1, 10)
+
+
+def sealed(plain: Column, key: Column) -> Column:
+    """AES-GCM of a text under a 32-byte key: nonce, cipher text and tag."""
+    return F.aes_encrypt(plain, key, F.lit("GCM"))
+
+
+def opened(cipher: Column, key: Column) -> Column:
+    return F.aes_decrypt(cipher, key, F.lit("GCM")).cast("string")

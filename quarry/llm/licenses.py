@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .license_texts import KNOWN
+from .shared import staged
 from .words import let
 
 #: A line that starts with one of these, after any comment marks, is a copyright line.
@@ -71,7 +72,8 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     counted from 1, are looked up as entire texts too and come only where they are a known text, as
     notices do. Null texts and texts of punctuation or copyright lines alone have a null digest.
     Repeated rows give repeated results; an empty table gives none; other columns are left aside.
-    The known table is joined by hash: Spark broadcasts it while it is small and shuffles it beyond.
+    The known digests are written first, so that Spark knows their size: it broadcasts them while they
+    are small and shuffles both sides beyond.
     """
     table = known_digests(known)
     unit = lambda n, form: F.struct(n.cast("int").alias("line_no"), _hashed(form).alias("digest"))
@@ -79,7 +81,7 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     lines = lambda x: F.transform(F.split(x, "\n"), lambda line, k: unit(k + 1, _spelled(line)))
     both = let(_plain_lines(F.col("text")), lambda x: F.concat(whole(x), F.coalesce(lines(x), F.array().cast("array<struct<line_no:int,digest:string>>"))))
     units = docs.select("doc_id", F.explode(both).alias("u")).select("doc_id", "u.line_no", "u.digest")
-    found = units.join(known_digests(known), "digest", "left")
+    found = units.join(staged(known_digests(known), "known-digests"), "digest", "left")
     return found.filter("line_no IS NULL OR license_id IS NOT NULL").select("doc_id", "line_no", "digest", "license_id")
 
 

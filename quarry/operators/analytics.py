@@ -34,6 +34,11 @@ def counts_by(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"))
 
 
+def numbered(rows: DataFrame, *order) -> DataFrame:
+    """Adds the place, from 1, of each of a few ranked rows; they are sorted in one task."""
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+
+
 def page(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:
     """Page ``number`` (from 1) of the ordered rows."""
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)

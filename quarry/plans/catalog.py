@@ -472,7 +472,7 @@ def context_bundle(spark, sf):
     """A context bundle from a hybrid search: its symbols, documents, tests, relations and neighbours."""
     best = fusion.ranked(_merged(spark, sf), 24)
     symbols, chunks = tables.symbols(spark, sf), tables.chunks(spark, sf)
-    items = best.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("hybrid"), "ordinal")))
+    items = analytics.numbered(best, F.desc("hybrid"), "ordinal")
     named = symbols.select("path", "start_line", F.col("qualified_name").alias("symbol"))
     typed = chunks.select("path", "start_line", "chunk_type")
     full = items.join(named, ["path", "start_line"], "left").join(typed, ["path", "start_line"], "left").select("n", "path", "start_line", "symbol", "chunk_type")
@@ -486,3 +486,22 @@ def index_build(spark, sf):
     symbols, chunks = indexing.index_rows(files)
     rows = symbols.select(F.lit("symbol").alias("row"), "language", "kind").unionByName(chunks.select(F.lit("chunk").alias("row"), "language", "kind"))
     return analytics.counts_by(rows, "row", "language", "kind")
+
+
+@query("""SELECT c_custkey, substr(c_name, 1, 10) AS prefix, sha256(c_name) AS key_hash FROM customer""")
+def api_key_hashes(spark, sf):
+    """Keys as they are stored: a prefix to show and a hash to look up."""
+    return table(spark, sf, "customer").select("c_custkey", text.key_prefix(F.col("c_name")).alias("prefix"), text.key_hash(F.col("c_name")).alias("key_hash"))
+
+
+@query("""SELECT event_type AS project_id, count(*) FILTER (WHERE value < 100)::BIGINT AS queued, max(ts) AS last_at, arg_max(event_id, (ts, event_id)) AS last_job FROM events GROUP BY 1""")
+def index_status(spark, sf):
+    """Per project its waiting jobs, and the newest job with its time."""
+    e = table(spark, sf, "events").withColumnRenamed("event_type", "project_id")
+    return e.groupBy("project_id").agg(F.count_if(F.col("value") < 100).alias("queued"), F.max("ts").alias("last_at"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_job"))
+
+
+@query("""SELECT count_if(o_orderstatus IN ('O'))::BIGINT AS queue_depth, count_if(o_orderstatus = 'F')::BIGINT AS failed FROM orders""")
+def queue_depth(spark, sf):
+    """Jobs waiting and failed."""
+    return table(spark, sf, "orders").agg(F.count_if(F.col("o_orderstatus").isin("O")).alias("queue_depth"), F.count_if(F.col("o_orderstatus") == "F").alias("failed"))

@@ -69,3 +69,9 @@ def test_hash_embedding(spark):
 def test_cosine_of_nothing_is_null(spark):
     row = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0]), ([1.0, 0.0], [2.0, 0.0])], "a array<double>, b array<double>")
     assert [r[0] for r in row.select(vec.cosine(F.col("a"), F.col("b"))).collect()] == [None, 1.0]
+
+
+def test_sealed_texts_open_again(spark):
+    row = spark.createDataFrame([("secret", "k" * 32)], "t string, k string")
+    assert row.select(text.opened(text.sealed(F.col("t"), F.col("k")), F.col("k"))).first()[0] == "secret"
+    assert row.select(F.length(text.sealed(F.lit("abc"), F.col("k")))).first()[0] == 31

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.operators import analytics, chunking, evaluation, fusion, indexing, lexical, parsing, structural
+from quarry.plans.project import Project
 from quarry.plans.search import BadRequest, Index, NotFound, clamped, search
 from quarry.schemas import SYMBOL
 
@@ -253,6 +254,13 @@ def test_search_is_scoped(spark):
         assert {r.path for r in search(index, "alpha", mode, vector=[1.0, 0.0]).collect()} == {"a"}
     assert search(index, "Order", "symbol", 2).count() == 2
     assert (clamped(None), clamped(999), clamped(0)) == (10, 50, 1)
+    typed = Index(files, chunks.withColumn("chunk_type", F.lit("documentation")), symbol_rows(spark), vectors)
+    one = Project(typed, "p")
+    assert tuple(one.stats().first()) == (1, 1, 4, 1)
+    page = one.files().first()
+    assert (page.path, page.n_chunks, page.n_symbols) == ("a", 1, 4)
+    sections = {r.section for r in one.context("alpha", [1.0, 0.0]).collect()}
+    assert "doc" in sections and one.references("Order").count() == 2 and one.tests().count() == 0
     with pytest.raises(BadRequest):
         search(index, "x", "other")
     with pytest.raises(BadRequest):
