@@ -32,6 +32,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of whole texts that a Python worker is given at once.
+TEXT_ROWS = 2000
+
+
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Lowers the session's Arrow batches to ``rows``, so that a worker never holds many whole texts; smaller settings stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def task_files(uri: str):
     """(filesystem, path) through pyarrow, for tasks that read or write files in the shared folder."""
     from pyarrow import fs

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_folder, task_files
+from .shared import new_folder, task_files, text_batches
 from .tokens import encoder, id_type, text_blocks
 
 _SHARD = "shard int, file string, n_docs long, n_null long, n_tokens long, width int"
@@ -43,6 +43,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     that runs again writes files of another name, and the manifest names those that count.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     shards = max(spark.sparkContext.defaultParallelism, -(-total // shard_bytes))

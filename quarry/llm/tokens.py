@@ -17,7 +17,7 @@ import numpy as np
 
 #: Pre-tokens remembered by one worker, in each of two generations: when the young one is full it
 #: becomes the old one, whose words return to the young one when met again. This changes no result.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 #: Letters outside ASCII that the quick cuts know. Any other character sends its text the slow way.
 _LETTERS = "À-ÖØ-öø-ÿ"
 _UNSURE = re.compile(rf"[^\x00-\x7f{_LETTERS}]")

@@ -14,14 +14,14 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import staged, text_batches
 from .words import free_name
 
 #: Labelled rows that are used at most: those with the smallest hashes of their doc_id.
@@ -40,7 +40,8 @@ _OBFUSCATED = re.compile(r"[^\W\d_]+(?:[@$*!0-9]+[^\W\d_]+)+")
 _RUN = re.compile(r"([^\W\d_])\1{3,}")
 _NEAR = 5
 _OWN = ("t_features", "t_raw", "t_probability", "t_prediction", "t_margin")
-_MEMO = 500_000
+#: Words whose weights a worker remembers; beyond, it starts anew. This changes no result.
+_MEMO = 100_000
 FEATURES = ["insults", "learned", "learned_weight", "learned_texts", "near_person", "person", "capitals", "capital_words", "exclaims", "asks", "marks", "obfuscated", "uncovered", "runs", "log_words", "word_length"]
 
 
@@ -93,9 +94,9 @@ def dense_features(text: str | None, units: tuple[tuple[str, float], ...]) -> li
 def feature_column(units: tuple[tuple[str, float], ...]):
     """A column function: text to its dense features."""
 
-    @F.pandas_udf("array<double>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([dense_features(t, units) for t in texts])
+    @F.arrow_udf("array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([dense_features(t.as_py(), units) for t in texts], pa.list_(pa.float64()))  # one text at a time in Python
 
     return run
 
@@ -139,6 +140,7 @@ class ToxicityModel:
 
 
 def _raw(docs: DataFrame, units: tuple[tuple[str, float], ...], trees) -> DataFrame:
+    text_batches(docs.sparkSession)
     vectors = docs.withColumn("t_features", array_to_vector(feature_column(units)(F.col("text"))))
     out = trees.transform(vectors)
     return out.withColumn("t_raw", vector_to_array("t_probability")[1]).drop("t_probability", "t_prediction", "t_margin")
@@ -158,6 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     if not counts.get((1, 1)) or not counts.get((1, 0)):
         return ToxicityModel((), None, None, toxic / (toxic + other) if toxic + other else 0.0)
     units = learn_units(rows.filter("part < 9"))
+    text_batches(docs.sparkSession)
     vectors = rows.filter("part >= 9").select("part", "toxic", feature_column(units)(F.col("text")).alias("f"))
     vectors = staged(vectors.repartition(4), "labelled-features").withColumn("t_features", array_to_vector("f"))
     trees = GBTClassifier(featuresCol="t_features", labelCol="toxic", predictionCol="t_prediction", maxIter=15, maxDepth=3, stepSize=0.3, seed=7)
