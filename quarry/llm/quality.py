@@ -127,8 +127,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     null or have no document are left aside; a document labelled twice counts twice.
     """
     chosen = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "quality").limit(max_labelled)
-    labelled = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # the limit bounds it
-    labelled = labelled.filter(~base_failed())  # the rules only ever judge what passes the base
+    counted = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("doc_id", "quality", "q_stats")  # the limit bounds it
+    # Written first: else the filter is pushed below the join, and all documents are counted.
+    labelled = staged(counted, "labelled-counts").filter(~base_failed())  # the rules only ever judge what passes the base
     values = features()
     part = F.pmod(F.xxhash64(F.lit("prune"), "doc_id"), F.lit(3)) == 0
     rows = staged(labelled.select((F.col("quality") == 0).alias("bad"), part.alias("prune"), *[v.alias(k) for k, v in values.items()]).repartition(4), "labelled-statistics")
