@@ -13,7 +13,20 @@ from .license_texts import KNOWN
 from .shared import staged
 from .words import let
 
-#: A line that starts with one of these, after any comment marks, is a copyright line.
+#: Words that follow "copyright" in the wording of licences, never in a line that names a holder or year.
+WORDING = [
+    "able", "also", "and", "are", "as", "disclaimer", "disclaimers", "doctrine", "doctrines", "ed", "for", "holder", "holders", "if", "in", "infringement", "interest", "interests", "is",
+    "law", "laws", "license", "licence", "licenses", "licences", "like", "line", "lines", "notice", "notices", "of", "on", "or", "owner", "owners", "ownership", "permission", "permissions", "protection",
+    "resulting", "right", "rights", "statement", "statements", "status", "to", "treaties", "treaty", "under", "with",
+]
+_NAMED = rf"copyright(?:[^a-z0-9\n]*+(?:19|20)[0-9]{{2}}|(?![,.;)\"'”-])[^a-z0-9\n]++(?!(?:{'|'.join(WORDING)}|the (?:software|work|program|library))\b)[a-z0-9])"
+_MARKED = r"\(c\)[^a-z0-9\n]*(?:©|<|\[|(?:19|20)[0-9]{2}|" + _NAMED + ")"
+_LINE = r"(^|\n)[^a-z0-9\n]*(?:%s)[^\n]*"
+_RIGHTS = r"all rights reserved(?: by\b|[^a-z0-9\n]*(?=\n|\z))"
+#: Copyright lines, after any comment marks: they state a holder or year. A bare "(c)" with a name is one too, but not
+#: in texts with an item "(b)", where it is the next item.
+HOLDER_LINE, LETTERED_LINE = (_LINE % "|".join([_NAMED, c, "©", _RIGHTS]) for c in (r"\(c\)", _MARKED))
+#: The rule of the SQL, which takes every line that starts with one of these for a copyright line.
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 #: What is not a letter or digit: ASCII marks and, beyond ASCII, quotation marks, dashes and the like; line feeds are kept.
 OTHER = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f“”„‘’‚–—―«»‹›…•·©®™\x{a0}\x{2009}\x{3000}]+"
@@ -28,7 +41,8 @@ SPELLINGS = [
 
 def _plain_lines(text: Column) -> Column:
     """The text in lower case without copyright lines, its words parted by single spaces, its lines kept."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "$1"), OTHER, " ")
+    bare = lambda x: F.when(F.contains(x, F.lit("(b)")), F.regexp_replace(x, LETTERED_LINE, "$1")).otherwise(F.regexp_replace(x, HOLDER_LINE, "$1"))
+    return F.regexp_replace(let(F.lower(text), bare), OTHER, " ")
 
 
 def _spelled(plain: Column) -> Column:

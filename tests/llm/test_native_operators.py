@@ -1,5 +1,7 @@
 import hashlib
 import math
+import re
+import textwrap
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -29,6 +31,31 @@ def test_scan_of_odd_rows(spark, odd_docs, no_docs):
     assert licenses.scan(no_docs, licenses.builtin_licenses(spark)).count() == 0
 
 
+def rewrapped(text, width, mark=""):
+    """Each paragraph of wording wrapped anew; paragraphs with a copyright line of their own stay."""
+    keep = lambda p: "copyright (c)" in p.lower() or "copyright [" in p.lower() or "copyright <" in p.lower()
+    parts = [p if keep(p) else textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) for p in re.split(r"\n\s*\n", text)]
+    return "\n".join(mark + line for line in "\n\n".join(parts).split("\n"))
+
+
+def test_wrapping_does_not_change_the_form(spark):
+    texts = [t for _, t in KNOWN] + ["the license\n(a) one\n\n(b) two\n\n(c) You must retain all copyright notices"]
+    rows = [(i, w, rewrapped(t, w, m)) for i, t in enumerate(texts) for w, m in [(10**6, ""), *[(w, m) for w in range(30, 100, 3) for m in ("", " * ")]]]
+    got = spark.createDataFrame(rows, "i int, w int, text string").select("i", "w", licenses.canonical(F.col("text")).alias("form")).collect()
+    forms = {r.i: r.form for r in got if r.w == 10**6}
+    assert [(r.i, r.w) for r in got if r.form != forms[r.i]] == []
+    assert forms[len(texts) - 1] == "the license a one b two c you must retain all copyright notices"
+
+
+def test_copyright_lines_are_known_by_holder_or_year(spark):
+    gone = ["Copyright 2020", "# Copyright (C) 2019-2021 A B", "(c) 2020 A", "© A", "Copyright <year> <owner>", "Copyright [yyyy] [name]", "Copyright by A", "Copyright Some Firm Inc.", "Copyright: The Authors", "(c) Copyright A", "All rights reserved.", "(c) Some One", "Copyright, 2020, A"]
+    stay = ["copyright notice, this list", "copyright holder or contributors", "Copyright license to reproduce", "copyrights", "copyrighted work", "copyright", "copyright, patent, trademark", "All rights reserved. Redistribution and use"]
+    rows = [(i, f"one\n{t}\ntwo") for i, t in enumerate(gone + stay)]
+    got = {r.i: r.form for r in spark.createDataFrame(rows, "i int, text string").select("i", licenses.canonical(F.col("text")).alias("form")).collect()}
+    assert [t for i, t in enumerate(gone) if got[i] != "one two"] == []
+    assert [t for i, t in enumerate(stay, len(gone)) if got[i] == "one two"] == []
+
+
 def bits(key):
     digest = hashlib.md5(("null" if key is None else str(key)).encode()).hexdigest()[:15]
     return bin(int(digest, 16))[2:].zfill(60)
