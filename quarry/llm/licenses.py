@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_entire import ENTIRE
 from .license_texts import KNOWN
 from .shared import staged
 from .words import let
@@ -76,7 +77,8 @@ def known_digests(known: DataFrame) -> DataFrame:
 
 
 def builtin_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license_id string, text string")
+    """(license_id, text) of notices and short licences (KNOWN), which the SQL has too, and of ENTIRE, which it has not."""
+    return spark.createDataFrame(KNOWN + ENTIRE, "license_id string, text string")
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:

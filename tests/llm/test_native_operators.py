@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from quarry.llm import licenses, mixing, sharding
+from quarry.llm.license_entire import ENTIRE
 from quarry.llm.license_texts import KNOWN, MIT
 
 
@@ -56,6 +57,15 @@ def test_copyright_lines_are_known_by_holder_or_year(spark):
     assert [t for i, t in enumerate(stay, len(gone)) if got[i] == "one two"] == []
 
 
+def test_entire_licenses_are_known(spark):
+    assert {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0"} <= {k for k, _ in ENTIRE}
+    forms = [lambda t: t, lambda t: "\n".join(" * " + x for x in t.split("\n")), lambda t: "Copyright 2031 Some One\n\n" + t, lambda t: rewrapped(t, 61), lambda t: rewrapped(t, 10**6)]
+    rows = [(100 * i + k, form(t)) for i, (_, t) in enumerate(ENTIRE) for k, form in enumerate(forms)]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.builtin_licenses(spark)).filter("line_no IS NULL").collect()
+    assert [(r.doc_id % 100, ENTIRE[r.doc_id // 100][0], r.license_id) for r in found if r.license_id != ENTIRE[r.doc_id // 100][0]] == []
+    assert len(found) == len(rows)
+
+
 def bits(key):
     digest = hashlib.md5(("null" if key is None else str(key)).encode()).hexdigest()[:15]
     return bin(int(digest, 16))[2:].zfill(60)
