@@ -9,6 +9,7 @@ between as a quarantined gap with the reason.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import mmap
 import re
@@ -30,10 +31,10 @@ ARCHIVE_BYTES = 32 << 20
 REVISIT_BYTES = 100
 #: A table of repeated payloads of at most this many rows (of about 100 bytes) is broadcast, a larger one is shuffled.
 BROADCAST_ROWS = 50_000
-_HEADER_BYTES = 1 << 16
 _GZIP = b"\x1f\x8b\x08"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")  # damage may have taken the end of the line before
 _VERSION = re.compile(rb"WARC/\d\.\d\r\n")
+_MANDATORY = {b"warc-type", b"warc-record-id", b"warc-date", b"content-length"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "file string, n_records long, n_bytes long"
 RECORDS = "file string, start long, end long, gap string, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -113,17 +114,31 @@ class Record:
     payload: bytes
 
 
+def _differs(told: str, content: bytes) -> bool:
+    """Whether a digest "method:value", in hexadecimal or base32, is not that of the content. Unknown methods say nothing."""
+    method, _, value = told.partition(":")
+    method, value = method.strip().lower().replace("-", ""), value.strip()
+    if method not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return False
+    own = hashlib.new(method, content).digest()
+    return value.lower() != own.hex() and value.upper().rstrip("=") != base64.b32encode(own).decode().rstrip("=")
+
+
 def _plain(buf, start: int, stop: int) -> Record:
     """The record whose version line is at ``start``, if all of it holds."""
     version = _VERSION.match(buf, start, stop)
     if not version:
         raise Broken("no version line")
-    ends = buf.find(b"\r\n\r\n", start, min(stop, start + _HEADER_BYTES))
+    ends = buf.find(b"\r\n\r\n", version.end() - 2, stop)
     if ends < 0:
         raise Broken("header without end")
     headers: dict[str, str] = {}
-    if _VERSION.search(buf, version.end(), ends + 2):
-        raise Broken("header runs into another record")
+    inner = _VERSION.search(buf, version.end(), ends + 2)
+    while inner:  # a value may end like a version line, but only a header of its own has all the fields again
+        fields = {x.partition(b":")[0].strip().lower() for x in bytes(buf[inner.end() : ends]).split(b"\r\n")}
+        if bytes(buf[inner.start() - 1 : inner.start()]) == b"\n" or fields >= _MANDATORY:
+            raise Broken("header runs into another record")
+        inner = _VERSION.search(buf, inner.end(), ends + 2)
     for line in bytes(buf[version.end() : ends]).split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
@@ -138,8 +153,10 @@ def _plain(buf, start: int, stop: int) -> Record:
     if bytes(buf[end : end + 4]) != b"\r\n\r\n":
         raise Broken("wrong content length")
     payload = bytes(buf[at:end])
-    method, _, digest = headers.get("warc-payload-digest", "").partition(":")
-    if headers.get("warc-type") != "revisit" and method == "sha256" and hashlib.sha256(payload).hexdigest() != digest.lower():
+    if _differs(headers.get("warc-block-digest", ""), payload):
+        raise Broken("block digest differs")
+    http = headers.get("content-type", "").lower().startswith("application/http")
+    if headers.get("warc-type") != "revisit" and "warc-segment-number" not in headers and _differs(headers.get("warc-payload-digest", ""), payload.partition(b"\r\n\r\n")[2] if http else payload):
         raise Broken("payload digest differs")
     return Record(start, end + 4, headers, payload)
 
@@ -258,7 +275,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     found = salvage(manifest.select(F.concat(F.lit(f"{folder}/"), "file").alias("path")), keep_payload=False)
-    return found.filter("gap IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = staged(found.select("gap", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "salvaged")
+    written = manifest.agg(F.sum("n_records")).first()[0] or 0
+    recovered, gaps = found.agg(F.count_if(F.col("gap").isNull()), F.count("gap")).first()
+    if written != recovered or gaps:
+        raise RuntimeError(f"{written} records written, {recovered} recovered, {gaps} gaps")
+    return found.filter("gap IS NULL").drop("gap")
 
 
 SQL = """

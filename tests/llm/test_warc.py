@@ -1,10 +1,14 @@
+import base64
 import gzip
 import hashlib
 import os
 import random
 
+import pytest
+
 from quarry.llm import warc
 from quarry.llm.shared import new_folder, task_files
+from quarry.llm.warc import salvage
 
 
 def record(i, text=None):
@@ -57,6 +61,39 @@ def test_a_payload_that_looks_like_a_record_stays_a_payload():
     assert seen(broken + record(2))[0] == [77, 2]
 
 
+def test_long_urls_and_urls_like_version_lines():
+    urls = ["http://x/" + "a" * 200_000, "http://x/WARC/1.0", "http://x/?q=WARC/1.1"]
+    parts = [warc.record_bytes("response", i, u, b"page", hashlib.sha256(b"page").hexdigest(), 4) for i, u in enumerate(urls)]
+    for pack in (bytes, gzip.compress):
+        data = b"".join(map(pack, parts))
+        assert seen(data) == ([0, 1, 2], [])
+        assert [x.headers["warc-target-uri"] for x in warc.walk(data)] == urls
+
+
+def test_other_digests_are_verified():
+    block = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nthe page itself"
+    sha1 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+
+    def made(i, *lines):
+        head = ["WARC/1.0", "WARC-Type: response", f"WARC-Record-ID: <urn:page:{i}>", "Content-Type: application/http; msgtype=response", *lines, f"Content-Length: {len(block)}", "", ""]
+        return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+    for lines in (["WARC-Payload-Digest: " + sha1(b"the page itself")], ["WARC-Block-Digest: " + sha1(block)], ["WARC-Block-Digest: sha1:" + hashlib.sha1(block).hexdigest()]):
+        good = made(1, *lines)
+        assert seen(good + made(2, *lines)) == ([1, 2], [])
+        ids, gaps = seen(good.replace(b"itself", b"itsela") + made(2, *lines))
+        assert ids == [2] and gaps[0][:2] == (0, len(good)) and gaps[0][2].endswith("digest differs")
+    assert seen(made(1, "WARC-Block-Digest: other:xyz")) == ([1], [])
+
+
+def test_lost_pages_fail_the_query(spark, tmp_path, monkeypatch):
+    pages(spark, [(1, "http://a/WARC/1.0", "one"), (2, "http://x/" + "a" * 100_000, "two")]).write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r.page_id for r in warc.op1_warc(spark, str(tmp_path)).collect()) == [1, 2]
+    monkeypatch.setattr(warc, "salvage", lambda archives, keep_payload=True: salvage(archives, keep_payload).filter("page_id = 1"))
+    with pytest.raises(RuntimeError, match="2 records written, 1 recovered"):
+        warc.op1_warc(spark, str(tmp_path))
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, digest string, first int")
 
