@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import staged, text_batches
+from .shared import small_batches, staged
 from .tokens import encoder, id_type, text_blocks
 
 #: Tokens by which rests are binned: a sequence wastes less than this for each piece it holds.
@@ -57,7 +57,6 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, uni
                 made["doc_id"] = made["doc_id"].astype("Int64")
                 yield made
 
-    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, _PIECE)
 
 
@@ -155,13 +154,15 @@ def pack(cut: DataFrame, window: int = 2048, unit: int = UNIT) -> DataFrame:
 
 def packed_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, unit: int = UNIT) -> DataFrame:
     """Every piece of every document with its place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    cut = staged(pieces(docs, tokenizer, end_id, window, unit).drop("ids"), "pieces")
+    with small_batches(docs.sparkSession):
+        cut = staged(pieces(docs, tokenizer, end_id, window, unit).drop("ids"), "pieces")
     return pack(cut, window, unit).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def packed_sequences(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, unit: int = UNIT) -> DataFrame:
     """The sequences themselves: sequence_id, ids (little-endian unsigned, at most a window), doc_ids and offsets of the pieces."""
-    cut = staged(pieces(docs, tokenizer, end_id, window, unit, keep_ids=True), "pieces")
+    with small_batches(docs.sparkSession):
+        cut = staged(pieces(docs, tokenizer, end_id, window, unit, keep_ids=True), "pieces")
     held = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "start", "ids")))
     one = pack(cut, window, unit).groupBy("sequence_id").agg(held.alias("p"))
     joined = F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"]))

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one is set only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``. Only a local master may leave it unset (tests): it gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -34,13 +38,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 #: Rows of whole texts that a Python worker is given at once.
 TEXT_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Lowers the session's Arrow batches to ``rows``, so that a worker never holds many whole texts; smaller settings stay."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, rows)
+    """Lowers the session's Arrow batches to ``rows``, so that a worker never holds many whole texts; smaller settings
+    stay. For results that are not written here: the setting has to hold until they are."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= rows:
+        spark.conf.set(_BATCH, rows)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """``text_batches`` for what is written inside the block; the session's own setting comes back after it."""
+    before = spark.conf.get(_BATCH)
+    text_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def task_files(uri: str):

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_folder, staged, task_files, text_batches
+from .shared import new_folder, small_batches, staged, task_files
 
 #: Archives are closed at this size; a task of the reader has one archive at a time.
 ARCHIVE_BYTES = 32 << 20
@@ -62,7 +62,6 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     files of another name; the manifest says which count. Other columns are left aside.
     """
     spark = pages.sparkSession
-    text_batches(spark)
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), "url", body.alias("html"), F.sha2(body, 256).alias("digest"))
     long = rows.filter(F.octet_length("html") >= REVISIT_BYTES)
@@ -98,7 +97,8 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
             done.append((name, records, size))
         yield pd.DataFrame(done, columns=["file", "n_records", "n_bytes"])
 
-    marked.mapInPandas(write, _MANIFEST).write.parquet(f"{folder}/manifest")
+    with small_batches(spark):
+        marked.mapInPandas(write, _MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 

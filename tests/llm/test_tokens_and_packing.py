@@ -18,13 +18,12 @@ WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path
 @lru_cache
 def plain(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
 @settings(max_examples=150, deadline=None)
-@given(texts=st.lists(st.lists(st.sampled_from(list("aZé 'ßs0\n\t\r.!|<> ́İ\x1c") + ["'ll ", "  ", "<|endoftext|>", "ÀÉ"])).map("".join), max_size=4))
+@given(texts=st.lists(st.lists(st.sampled_from(list("aZé 'ßs0\n\t\r.!|<> ́İ\x1c") + ["'ll ", "  ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "ÀÉ"])).map("".join), max_size=4))
 def test_encoding_equals_the_library(path, texts):
     enc = tokens.encoder(path)
     want = [np.array(plain(path)(t), enc.dtype).tobytes() for t in texts]
@@ -32,6 +31,12 @@ def test_encoding_equals_the_library(path, texts):
     assert enc.encode(texts) == want  # remembered
 
 
+@pytest.mark.parametrize("path,ids", [(WORD, [3306, 49407, 1002]), (BYTE, [31373, 220, 50256, 995])])
+def test_the_string_of_a_special_token_is_that_token(path, ids):
+    enc = tokens.encoder(path)
+    assert np.frombuffer(enc.encode(["hello <|endoftext|> world"])[0], enc.dtype).tolist() == ids
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
