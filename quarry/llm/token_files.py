@@ -6,7 +6,7 @@ A dataset is a folder of shards in ascending document order. Shard ``k`` is thre
 * ``k.idx``  the offsets in ids, little-endian unsigned 64-bit: one for each document, then the end;
 * ``k.doc``  the document ids, little-endian signed 64-bit (0 where null; nulls come first).
 
-Texts are encoded where they lie; only their ids, a third as large, are dealt by range of doc_id.
+Texts are dealt by range of doc_id and encoded where their shard is written, so ids are written once.
 ``manifest`` (Parquet, one row for each shard) has the counts and, from prefix sums in two levels,
 each shard's first document and first id in the whole dataset.
 """
@@ -25,37 +25,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_folder, small_batches, staged, task_files
+from .shared import new_folder, small_batches, task_files
 from .tokens import encoder, id_type, text_blocks
 
 _SHARD = "shard int, file string, n_docs long, n_null long, n_tokens long, width int"
 MANIFEST = f"{_SHARD}, first_doc long, first_token long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
-#: Bytes of ids for each shard that is written.
-SHARD_BYTES = 16 << 20
+#: Bytes of text for each shard that is written.
+SHARD_BYTES = 32 << 20
 #: Shards whose counts are summed up together, before the sums of such runs are.
 RUN = 4096
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, tie, ids) of each whole text, ``end_id`` appended; ``tie`` is a hash of the text."""
-
-    def run(batches):
-        enc = encoder(tokenizer)
-        width = id_type(max(enc._tok.get_vocab_size(), end_id + 1))
-        end = np.array([end_id], width).tobytes()
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in text_blocks(texts):
-                ids = enc.encode(texts[a:b])
-                if enc.dtype != width:
-                    ids = [np.frombuffer(x, enc.dtype).astype(width).tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array([x + end for x in ids], pa.binary())], names=["doc_id", "tie", "ids"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), "text")
-    return rows.mapInArrow(run, "doc_id long, tie long, ids binary")
-
-
 def _based(counts: DataFrame) -> DataFrame:
     """Adds first_doc and first_token: sums over the shards before, within runs of shards and over the runs."""
     rows = counts.withColumn("run", (F.col("shard") / RUN).cast("int"))
@@ -76,46 +57,45 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     task that runs again writes files of another name, and the manifest names those that count.
     """
     spark = docs.sparkSession
-    with small_batches(spark):
-        rows = staged(encoded(docs, tokenizer, end_id), "encoded")
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("n")).first()["n"]
-    width = _width(tokenizer, end_id)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     shards = max(spark.sparkContext.defaultParallelism, -(-total // shard_bytes))
-    ordered = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids")
+    ordered = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def write(batches):
+        enc = encoder(tokenizer)
+        width = id_type(max(enc._tok.get_vocab_size(), end_id + 1))
+        end = np.array([end_id], width).tobytes()
         store, top = task_files(folder)
         store.create_dir(top, recursive=True)
         shard = TaskContext.get().partitionId()
         name = f"{shard:06d}-{uuid.uuid4().hex}"
-        offsets, n_null = [np.zeros(1, np.int64)], 0
+        sizes, n_null = [np.zeros(1, np.int64)], 0
         with store.open_output_stream(f"{top}/{name}.bin") as ids, store.open_output_stream(f"{top}/{name}.doc") as keys:
             for batch in batches:
                 n_null += batch.column(0).null_count
                 keys.write(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                texts = batch.column(1).cast(pa.large_binary())
-                cuts = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-                ids.write(texts.buffers()[2][int(cuts[0]) : int(cuts[-1])])
-                offsets.append((cuts[1:] - cuts[0]) // width + offsets[-1][-1])
-        cuts = np.concatenate(offsets)
+                texts = batch.column(1).to_pylist()
+                for a, b in text_blocks(texts):
+                    made = enc.encode(texts[a:b])
+                    if enc.dtype != width:
+                        made = [np.frombuffer(x, enc.dtype).astype(width).tobytes() for x in made]
+                    ids.write(end.join(made) + end)
+                    sizes.append(np.array([len(x) // width.itemsize + 1 for x in made], np.int64))
+        cuts = np.cumsum(np.concatenate(sizes))
         with store.open_output_stream(f"{top}/{name}.idx") as idx:
             idx.write(cuts.astype("<u8").tobytes())
         if len(cuts) > 1:
-            values = {"shard": pa.array([shard], pa.int32()), "file": [name], "n_docs": [len(cuts) - 1], "n_null": [n_null], "n_tokens": [int(cuts[-1])], "width": pa.array([width], pa.int32())}
+            values = {"shard": pa.array([shard], pa.int32()), "file": [name], "n_docs": [len(cuts) - 1], "n_null": [n_null], "n_tokens": [int(cuts[-1])], "width": pa.array([width.itemsize], pa.int32())}
             yield pa.RecordBatch.from_pydict(values)
 
     counts = f"{folder}/counts"
     with small_batches(spark):
-        ordered.select("doc_id", "ids").mapInArrow(write, _SHARD).write.parquet(counts)
+        ordered.select("doc_id", "text").mapInArrow(write, _SHARD).write.parquet(counts)
     _based(spark.read.schema(_SHARD).parquet(counts)).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
-def _width(tokenizer: str, end_id: int) -> int:
-    """Bytes of an id."""
-    return id_type(max(encoder(tokenizer)._tok.get_vocab_size(), end_id + 1)).itemsize
-
-
 def mapped(uri: str, dtype: np.dtype) -> np.ndarray:
     """The flat file as an array: memory-mapped where the shared folder is mounted, else read."""
     store, path = task_files(uri)
