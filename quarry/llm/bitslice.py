@@ -10,6 +10,8 @@ still equal at the last slice are the boundary, resolved by the smaller id.
 
 from __future__ import annotations
 
+from operator import mul
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,19 +21,23 @@ from pyspark.sql import functions as F
 
 from .shared import staged
 
-#: Rows of an index block, and queries of a query block; a cell of the search is one of each.
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 128
-#: Components are read up to this magnitude after quantising; larger ones are an error, not a wrong score.
-LARGEST = 1 << 30
+#: Rows of an index block, and queries of a query block (4 MB at 64 components); a cell of the search is one of each.
+BLOCK_ROWS, BLOCK_QUERIES = 16_384, 8192
+#: Queries of a block at least, where smaller blocks are made to give every core a cell.
+LEAST_QUERIES = 128
+#: Quantised components are 64-bit integers; beyond that magnitude they are read as it.
+LARGEST = (1 << 63) - 1
+#: Scores travel as two numbers, the score divided by this and the rest, as they may have more than 63 bits.
+PART = 1 << 62
 _INDEX = "dims int, block long, ids binary, low binary, width int, slices binary"
 _QUERY = "dims int, q_block long, q_ids binary, q_values binary"
-_HITS = "query_id long, vec_id long, score long"
+_HITS = "query_id long, vec_id long, high long, low long"
 
 
 def quantised(vector: Column, scale: float) -> Column:
     """floor(scale * x) of each component; null if the vector or a component is null or not finite."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    values = F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")))
+    values = F.transform(vector, lambda x: F.greatest(F.lit(-LARGEST), F.floor(F.lit(scale) * x.cast("double"))))
     return F.when(finite, values)
 
 
@@ -50,8 +56,6 @@ def _matrices(batches, size: int):
         for d in np.unique(dims).tolist():
             at = np.flatnonzero(dims == d)
             mine = flat[(offsets[at][:, None] + np.arange(d)[None, :]).ravel()].reshape(len(at), d)
-            if d and np.abs(mine).max() > LARGEST:
-                raise ValueError("a quantised component is too large for the index")
             old = held.pop(d, None)
             ids_d, mine = (ids[at], mine) if old is None else (np.concatenate([old[0], ids[at]]), np.concatenate([old[1], mine]))
             while len(ids_d) >= size:
@@ -73,7 +77,7 @@ def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
             order = np.argsort(ids, kind="stable")
             ids, values = ids[order], values[order]
             low = values.min(0) if dims else np.zeros(0, np.int64)
-            above = (values - low).astype(np.uint64)
+            above = values.view(np.uint64) - low.view(np.uint64)  # of up to 64 bits, whatever the signs
             width = int(above.max()).bit_length() if dims else 0
             words = -(-len(ids) // 64) * 64
             bits = np.zeros((dims, width, words), np.uint8)
@@ -137,7 +141,7 @@ def score_slices(slices: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, int
     negative = query < 0
     size = np.abs(query)
     signed = slices ^ np.where(negative, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))[:, None, None]
-    constant = -int(size[negative].sum()) * ((1 << width) - 1)
+    constant = -sum(size[negative].tolist()) * ((1 << width) - 1)
     columns: list[list[np.ndarray]] = [[] for _ in range(top + width - 1)]
     for k in range(top):
         mine = signed[(size >> k) & 1 == 1]
@@ -165,8 +169,15 @@ def best_rows(scores: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([places(sure), places(equal)[:need]])
 
 
+def _exact(bits: np.ndarray, added: int) -> list[int]:
+    """The numbers whose binary digits are the columns of ``bits``, lowest first, and what is added to each."""
+    if len(bits) < 62:
+        return [x + added for x in (bits.astype(np.int64) << np.arange(len(bits))[:, None]).sum(0).tolist()]
+    return [sum(b << k for k, b in enumerate(column)) + added for column in bits.T.tolist()]
+
+
 def _search_cell(block, queries: pd.DataFrame, k: int):
-    ids, low = np.frombuffer(block.ids, "<i8"), np.frombuffer(block.low, "<i8")
+    ids, low = np.frombuffer(block.ids, "<i8"), np.frombuffer(block.low, "<i8").tolist()
     words = -(-len(ids) // 64)
     slices = np.frombuffer(block.slices, np.uint8).view(np.uint64).reshape(block.dims, block.width, words)
     valid = np.zeros(words * 64, np.uint8)
@@ -175,6 +186,7 @@ def _search_cell(block, queries: pd.DataFrame, k: int):
     for q in queries.itertuples():
         query_ids = np.frombuffer(q.q_ids, "<i8")
         values = np.frombuffer(q.q_values, "<i8").reshape(len(query_ids), block.dims)
+        places, totals, asked = [], [], []
         for query_id, query in zip(query_ids.tolist(), values, strict=True):
             scores, constant = score_slices(slices, query)
             rows = valid.copy()
@@ -183,34 +195,44 @@ def _search_cell(block, queries: pd.DataFrame, k: int):
                 rows[own // 64] &= ~(np.uint64(1) << np.uint64(own % 64))
             at = best_rows(scores, rows, k)
             bits = (scores[:, at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
-            found = (bits.astype(np.int64) << np.arange(len(scores))[:, None]).sum(0) + constant + int(query @ low)
-            yield pd.DataFrame({"query_id": query_id, "vec_id": ids[at], "score": found})
+            totals += _exact(bits, constant + sum(map(mul, query.tolist(), low)))
+            places.append(at)
+            asked += [query_id] * len(at)
+        parts = [divmod(x, PART) for x in totals]
+        found = np.concatenate(places) if places else np.zeros(0, np.int64)
+        yield pd.DataFrame({"query_id": asked, "vec_id": ids[found], "high": [h for h, _ in parts], "low": [x for _, x in parts]})
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, rows: int, n_queries: int, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): of all rows but the query's own, the k largest inner products.
 
-    Index and queries are dealt into a grid of cells, so that a task holds a few blocks of each. Each
-    cell gives k rows a query, from which the best k are ranked.
+    Index and queries are dealt into a grid of cells, so that a task holds a few blocks of each. Blocks
+    of queries are as large as memory allows, as the index is sent once for each; smaller ones are made
+    only while cells are fewer than cores. Each cell gives k rows a query, from which the best k are ranked.
     """
     across, down = max(1, -(-rows // block_rows)), max(1, -(-n_queries // block_queries))
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    down = max(down, min(-(-n_queries // min(LEAST_QUERIES, block_queries)), -(-2 * cores // across)))
+    block_queries = max(1, -(-n_queries // down))
     ours = index.withColumn("i", F.pmod(F.xxhash64("block"), F.lit(across))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
     theirs = query_blocks(queries.repartition(down), block_queries).withColumn("j", F.pmod(F.xxhash64("q_block"), F.lit(down)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
 
     def cell(blocks: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         found = [x for b in blocks.itertuples() for x in _search_cell(b, qs[qs["dims"] == b.dims], k)] if len(qs) else []
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "high": [], "low": []}).astype("int64")
 
     hits = ours.groupBy("i", "j").cogroup(theirs.groupBy("i", "j")).applyInPandas(cell, _HITS)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")
+    whole = F.when(F.col("high") >= 2, F.lit(LARGEST)).when(F.col("high") < -2, F.lit(-LARGEST)).otherwise(F.shiftleft("high", 62).bitwiseOR(F.col("low")))
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", whole.alias("score"))
 
 
 def top_k(embeddings: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k best rows for each query, a row whose vec_id is divisible by ``every``.
 
     Vectors that are null or hold null or non-finite components take no part, nor do rows with a
-    null vec_id; vectors of other lengths are not compared. Rows with the query's vec_id are its own.
+    null vec_id; vectors of other lengths are not compared. Scores of any size are ranked exactly; one
+    that a long cannot hold is given as the largest (or smallest) that it can. Rows with the query's vec_id are its own.
     Where a vec_id is repeated, its smallest vector is the query, and each row is a candidate. Empty
     tables give no rows. Only vec_id and embedding are read.
     """
