@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import staged
-from .words import SPACE, UPPER, free_name, let, windows, words
+from .words import SPACE, UPPER, free_name, let, one_text, windows, words
 
 #: Labelled rows that the list is learned from: those with the smallest hashes of their doc_id.
 MAX_LABELLED = 20_000
@@ -120,16 +120,19 @@ def _bin(value: Column, edges: list[float]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= value))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DecisionList:
-    """A decision list for quality 0, from documents with a label 0 or 1.
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, base: bool = True) -> DecisionList:
+    """A decision list for quality 0, from documents with a label 0 or 1; with ``base`` from those that pass the base limits.
 
     Without labels of both kinds the list is empty, so that every document is kept. Labels that are
-    null or have no document are left aside; a document labelled twice counts twice.
+    null or have no document are left aside; a document labelled twice counts twice, but of rows that
+    share a doc_id the text with the smallest hash alone is learned from, so ``max_labelled`` bounds the rows.
     """
     chosen = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "quality").limit(max_labelled)
-    counted = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("doc_id", "quality", "q_stats")  # the limit bounds it
+    counted = with_statistics(one_text(docs, chosen).join(F.broadcast(chosen), "doc_id")).select("doc_id", "quality", "q_stats")  # the limit bounds it
     # Written first: else the filter is pushed below the join, and all documents are counted.
-    labelled = staged(counted, "labelled-counts").filter(~base_failed())  # the rules only ever judge what passes the base
+    labelled = staged(counted, "labelled-counts")
+    if base:  # the rules only ever judge what passes the base
+        labelled = labelled.filter(~base_failed())
     values = features()
     part = F.pmod(F.xxhash64(F.lit("prune"), "doc_id"), F.lit(3)) == 0
     rows = staged(labelled.select((F.col("quality") == 0).alias("bad"), part.alias("prune"), *[v.alias(k) for k, v in values.items()]).repartition(4), "labelled-statistics")
@@ -174,11 +177,13 @@ def base_failed(name: str = "q_stats") -> Column:
     return (F.col(f"{name}.n_words") < 50) | (100 * F.col(f"{name}.n_repeat_words") > 50 * F.col(f"{name}.n_words"))
 
 
-def assess(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """``docs`` with q_stats, base_failed and kept. Null and empty texts have no words, so they fail;
-    columns of these names are replaced; rows are judged one by one, repeated or not."""
-    judged = with_statistics(docs.drop("q_stats", "base_failed", "kept"))
-    return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & rules.verdict(features()))
+def assess(docs: DataFrame, rules: DecisionList, base: bool = True) -> DataFrame:
+    """``docs`` with q_stats, base_failed and kept: the rules' verdict, with ``base`` only for what passes the base limits.
+    Null and empty texts have no words, so they fail the base; columns of these names are replaced; rows are
+    judged one by one, repeated or not."""
+    judged = with_statistics(docs.drop("q_stats", "base_failed", "kept")).withColumn("base_failed", base_failed())
+    verdict = rules.verdict(features())
+    return judged.withColumn("kept", ~F.col("base_failed") & verdict if base else verdict)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,8 +21,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import staged, text_batches
-from .words import free_name
+from .shared import small_batches, staged, text_batches
+from .words import free_name, one_text
 
 #: Labelled rows that are used at most: those with the smallest hashes of their doc_id.
 MAX_LABELLED = 20_000
@@ -47,15 +47,17 @@ FEATURES = ["insults", "learned", "learned_weight", "learned_texts", "near_perso
 
 @lru_cache(maxsize=2)
 def _memo(units: tuple[tuple[str, float], ...]) -> tuple[dict[str, float], dict[str, float]]:
-    """The lexicon, and the weights of words looked up so far by this worker."""
+    """The lexicon, and the weights of words looked up so far by this worker. To be asked for once a batch: the units are hashed."""
     return dict(units), {}
 
 
-def dense_features(text: str | None, units: tuple[tuple[str, float], ...]) -> list[float]:
-    """The features of one whole text, in the order of ``FEATURES``; all zero for null and empty texts."""
+def dense_features(text: str | None, lexicon: dict[str, float], seen: dict[str, float]) -> list[float]:
+    """The features of one whole text, in the order of ``FEATURES``; all zero for null and empty texts.
+
+    ``seen`` remembers the weights of words between texts that share the lexicon.
+    """
     if not text:
         return [0.0] * len(FEATURES)
-    lexicon, seen = _memo(units)
     if len(seen) > _MEMO:
         seen.clear()
     own = _WORD.findall(text)
@@ -96,7 +98,8 @@ def feature_column(units: tuple[tuple[str, float], ...]):
 
     @F.arrow_udf("array<double>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([dense_features(t.as_py(), units) for t in texts], pa.list_(pa.float64()))  # one text at a time in Python
+        lexicon, seen = _memo(units)
+        return pa.array([dense_features(t.as_py(), lexicon, seen) for t in texts], pa.list_(pa.float64()))  # one text at a time in Python
 
     return run
 
@@ -150,19 +153,21 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     """Learns from documents whose label is 0 or 1; only their text is looked at.
 
     Labels that are null or have no document are left aside. A null or empty text is a row with all
-    features zero. A document labelled twice counts twice.
+    features zero. A document labelled twice counts twice; of rows that share a doc_id the text with the
+    smallest hash alone is learned from, so ``max_labelled`` bounds the rows. Where the third part lacks
+    one of the labels, the calibration falls back to the trees' own rows and the third part together.
     """
     chosen = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "toxic").limit(max_labelled)
     part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(20))
-    rows = staged(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("part", part.cast("int")), "labelled-texts")  # the limit bounds it
+    rows = staged(one_text(docs, chosen).join(F.broadcast(chosen), "doc_id").withColumn("part", part.cast("int")), "labelled-texts")  # the limit bounds it
     counts = {(r["kind"], r["toxic"]): r["count"] for r in rows.groupBy(F.when(F.col("part") < 9, 0).when(F.col("part") < 17, 1).otherwise(2).alias("kind"), "toxic").count().collect()}
     toxic, other = (sum(n for (_, t), n in counts.items() if t == k) for k in (1, 0))
     if not counts.get((1, 1)) or not counts.get((1, 0)):
         return ToxicityModel((), None, None, toxic / (toxic + other) if toxic + other else 0.0)
     units = learn_units(rows.filter("part < 9"))
-    text_batches(docs.sparkSession)
     vectors = rows.filter("part >= 9").select("part", "toxic", feature_column(units)(F.col("text")).alias("f"))
-    vectors = staged(vectors.repartition(4), "labelled-features").withColumn("t_features", array_to_vector("f"))
+    with small_batches(docs.sparkSession):
+        vectors = staged(vectors.repartition(4), "labelled-features").withColumn("t_features", array_to_vector("f"))
     trees = GBTClassifier(featuresCol="t_features", labelCol="toxic", predictionCol="t_prediction", maxIter=15, maxDepth=3, stepSize=0.3, seed=7)
     trees = trees._set(probabilityCol="t_probability", rawPredictionCol="t_margin")
     grown = trees.fit(vectors.filter("part < 17"))

@@ -41,3 +41,12 @@ def windows(ws: Column, size: int, make: Callable[[list[Column]], Column]) -> Co
     n = F.size(ws) - size + 1
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: make([F.get(ws, i + k) for k in range(size)]))
+
+
+def one_text(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, text) of each of the ``chosen`` doc_ids once: the text with the smallest hash where rows share a doc_id.
+
+    ``chosen`` is a bounded sample, so it is broadcast; a hot doc_id is reduced before the shuffle.
+    """
+    held = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    return held.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.octet_length("text"))).alias("text"))

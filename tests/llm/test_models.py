@@ -62,10 +62,10 @@ def test_quality_of_the_tables(spark, sf_dir):
 
 
 def test_features():
-    at = dict(zip(toxicity.FEATURES, toxicity.dense_features("You IDIOT! you are a m0ron, st*pid", ())))
+    at = dict(zip(toxicity.FEATURES, toxicity.dense_features("You IDIOT! you are a m0ron, st*pid", {}, {})))
     assert at["insults"] > 0 and at["near_person"] > 0 and at["obfuscated"] > 0 and at["uncovered"] > 0 and at["capital_words"] > 0
-    assert toxicity.dense_features(None, ()) == toxicity.dense_features("", ()) == [0.0] * len(toxicity.FEATURES)
-    learned = dict(zip(toxicity.FEATURES, toxicity.dense_features("loweixyz schön", (("lowei~", 3.0),))))
+    assert toxicity.dense_features(None, {}, {}) == toxicity.dense_features("", {}, {}) == [0.0] * len(toxicity.FEATURES)
+    learned = dict(zip(toxicity.FEATURES, toxicity.dense_features("loweixyz schön", {"lowei~": 3.0}, {})))
     assert learned["learned"] == 50
 
 
