@@ -246,16 +246,6 @@ def near_duplicates(docs: DataFrame, distance: int = 3, size: int = 3, count: in
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """Keeps of each component the document with the smallest doc_id (once, if its row is repeated)."""
-    kept = near_duplicates(docs, distance).select(F.col("component_id").alias("doc_id")).distinct()
-    others = [c for c in docs.columns if c != "doc_id"]
-    same = docs["doc_id"].eqNullSafe(kept["doc_id"])
-    chosen = docs.join(kept, same, "left_semi")
-    one = chosen.groupBy("doc_id").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in others])).alias("row"))
-    return one.select("doc_id", "row.*").select(*[f"`{c}`" for c in docs.columns])
-
-
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: every document's fingerprint and component."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -45,10 +45,6 @@ def test_components_of_odd_rows(odd_docs, no_docs):
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(odd_docs).collect()}
     assert {(1, 1), (2, 1), (6, 1), (3, 3), (4, 3), (None, None), (5, 5), (7, 7)} == got
     assert simhash.near_duplicates(no_docs).count() == 0
-    kept = simhash.drop_near_duplicates(odd_docs)
-    assert kept.columns == odd_docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [1, 3, 5, 7, None]
-    assert simhash.drop_near_duplicates(no_docs).count() == 0
 
 
 @pytest.mark.parametrize("count,hot", [(3, 8192), (2, 8192), (4, 8192), (3, 20), (2, 10)])
