@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, packing, quality, simhash, toxicity
+from quarry.llm import mixing, near_copies, packing, quality, toxicity
 from quarry.llm.shared import staged
 
 
@@ -23,14 +23,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base limits nor the learned rules reject."""
-    rules = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.assess(docs, rules).filter("kept").select(*_columns(docs))
+    """Documents that the learned rules do not reject. Short ones are learned from and judged like any other."""
+    rules = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), base=False)
+    return quality.assess(docs, rules, base=False).filter("kept").select(*_columns(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8): that with the smallest doc_id."""
+    return near_copies.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
