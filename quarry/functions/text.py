@@ -15,7 +15,17 @@ def bound(value: Column, body) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of ASCII letters, digits and underscores; null for null."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9_]+", " "), " "), lambda t: t != "")
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9_]+", " "), " "), "")
+
+
+def token_lines(text: Column) -> Column:
+    """The text with each line's tokens parted by single spaces; lines stay lines."""
+    return F.regexp_replace(F.lower(text), "[^a-z0-9_\n]+", " ")
+
+
+def term_count(text: Column, term: str) -> Column:
+    """How often a term is among the tokens of a text, without making the tokens."""
+    return F.regexp_count(F.lower(text), F.lit(rf"(?<![a-z0-9_]){term}(?![a-z0-9_])"))
 
 
 def query_terms(query: str) -> list[str]:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 BLOCK_LINES, LOOK_BACK, LEAST = 150, 40, 20
 HEADING = r"^(#{1,6})\s+(.+)$"
 
@@ -40,37 +42,56 @@ def blocks(files: DataFrame, size: int = BLOCK_LINES) -> DataFrame:
     return found.select("file_id", (F.col("b.first") + 1).alias("start_line"), (F.col("b.last") + 1).alias("end_line"), held.alias("content"))
 
 
+def line_blocks(content: Column, size: int) -> Column:
+    """An array of (start_line, end_line, content): the text's lines, split once, in blocks of ``size``."""
+
+    def cut(lines: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(lines) - 1, F.lit(size))
+        block = lambda a: F.struct((a + 1).alias("start_line"), F.least(a + size, F.size(lines)).alias("end_line"), F.array_join(F.slice(lines, a + 1, size), "\n").alias("content"))
+        return F.transform(starts, block)
+
+    return bound(F.split(content, "\n"), cut)
+
+
 def plain_blocks(files: DataFrame, size: int) -> DataFrame:
     """Blocks of exactly ``size`` lines, without looking for blank ones, by built-in functions alone."""
-    lines = F.split("content", "\n")
     some = files.filter(F.col("content").rlike(r"\S"))
-    starts = some.withColumn("a", F.explode(F.sequence(F.lit(0), F.size(lines) - 1, F.lit(size))))
-    end = F.least(F.col("a") + size, F.size(lines))
-    return starts.select("file_id", (F.col("a") + 1).alias("start_line"), end.alias("end_line"), F.array_join(F.slice(lines, F.col("a") + 1, end - F.col("a")), "\n").alias("content"))
+    return some.select("file_id", F.explode_outer(line_blocks(F.col("content"), size)).alias("b")).select("file_id", "b.start_line", "b.end_line", "b.content")
 
 
 def sections(files: DataFrame) -> DataFrame:
     """(file_id, heading, kind, start_line, end_line, content) of a markdown file: from each heading to the next.
 
-    What comes before the first heading has none. Sections without text are left out. A section's
-    lines are gathered per file, so the shuffle carries each line once.
+    What comes before the first heading has none. Sections without text are left out. A file is one
+    row, so its headings are found on the split text and what lies between is sliced; nothing is shuffled.
     """
-    lines = files.select("file_id", F.posexplode(F.split("content", "\n")).alias("n", "line"))
-    heading = F.nullif(F.regexp_extract("line", HEADING, 2), F.lit(""))
-    marked = lines.withColumn("heading", F.when(F.col("line").rlike(HEADING), F.trim(heading)))
-    part = F.count("heading").over(Window.partitionBy("file_id").orderBy("n"))
-    held = F.array_sort(F.collect_list(F.struct("n", "line")))
-    one = marked.withColumn("part", part).groupBy("file_id", "part").agg(F.max("heading").alias("heading"), F.min("n").alias("a"), F.max("n").alias("b"), held.alias("ls"))
-    text = F.regexp_replace(F.array_join(F.col("ls.line"), "\n"), r"^\s+|\s+$", "")
-    return one.withColumn("content", text).filter("content <> ''").select("file_id", "heading", F.when(F.col("heading").isNull(), "module").otherwise("section").alias("kind"), (F.col("a") + 1).alias("start_line"), (F.col("b") + 1).alias("end_line"), "content")
+
+    def cut(lines: Column) -> Column:
+        places = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(HEADING), i)), lambda i: i.isNotNull())
+        starts = lambda p: F.when(F.coalesce(F.get(p, F.lit(0)), F.lit(-1)) == 0, p).otherwise(F.concat(F.array(F.lit(0)), p))
+        end = lambda s, k: F.coalesce(F.get(s, k + 1), F.size(lines))
+        part = lambda s: F.transform(s, lambda a, k: F.struct(F.get(lines, a).alias("first"), a.alias("a"), end(s, k).alias("b"), F.array_join(F.slice(lines, a + 1, end(s, k) - a), "\n").alias("content")))
+        return bound(places, lambda p: bound(starts(p), part))
+
+    found = files.select("file_id", F.explode_outer(bound(F.split("content", "\n"), cut)).alias("s")).filter("s IS NOT NULL")
+    text = F.regexp_replace("s.content", r"^\s+|\s+$", "")
+    heading = F.when(F.col("s.first").rlike(HEADING), F.trim(F.nullif(F.regexp_extract("s.first", HEADING, 2), F.lit(""))))
+    some = found.withColumn("content", text).filter("content <> ''").withColumn("heading", heading)
+    return some.select("file_id", "heading", F.when(F.col("heading").isNull(), "module").otherwise("section").alias("kind"), (F.col("s.a") + 1).alias("start_line"), F.col("s.b").alias("end_line"), "content")
 
 
 def reconstructed(chunks: DataFrame) -> DataFrame:
-    """(file_id, content): a file's chunks in order. Lines that several chunks hold are written once."""
-    lines = chunks.select("file_id", "start_line", F.posexplode(F.split("content", "\n")).alias("k", "line")).select("file_id", (F.col("start_line") + F.col("k")).alias("n"), "line")
-    once = lines.groupBy("file_id", "n").agg(F.min("line").alias("line"))
-    ordered = F.array_sort(F.collect_list(F.struct("n", "line")))
-    return once.groupBy("file_id").agg(ordered.alias("ls")).select("file_id", F.array_join(F.col("ls.line"), "\n").alias("content"))
+    """(file_id, content): a file's chunks in order, gathered once. Lines that several chunks hold are written once."""
+    held = F.array_sort(F.collect_list(F.struct("start_line", "content")))
+    lines = lambda c: F.split(c["content"], "\n")
+    # From each chunk the lines after the last one written so far; those of a chunk that starts later are all new.
+    step = lambda acc, c: F.struct(
+        F.greatest(acc["upto"], c["start_line"] + F.size(lines(c)) - 1).alias("upto"),
+        F.concat(acc["parts"], F.filter(F.array(F.array_join(F.slice(lines(c), F.greatest(F.lit(1), acc["upto"] - c["start_line"] + 2), F.size(lines(c))), "\n")), lambda x: acc["upto"] < c["start_line"] + F.size(lines(c)) - 1)).alias("parts"),
+    )
+    start = F.struct(F.lit(0).alias("upto"), F.array().cast("array<string>").alias("parts"))
+    joined = F.aggregate("cs", start, step, lambda acc: F.array_join(acc["parts"], "\n"))
+    return chunks.groupBy("file_id").agg(held.alias("cs")).select("file_id", joined.alias("content"))
 
 
 def chunk_id(file_id: Column, content: Column, start_line: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
+from ..operators import chunking
 
 FOLDERS = ["lib", "docs", "tests", "node_modules", "app", "vendor", "pkg"]
 ENDINGS = [".py", ".ts", ".go", ".md", ".json", ".test.ts", ".yaml", ".rst", ".java", "_test.go", ".png", ".unknown"]
@@ -37,13 +38,15 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """project_id, file_id, path, symbol_id, name, qualified_name, kind, start_line, calls, imports, extends."""
-    lines = files(spark, sf_dir).select("project_id", "file_id", "path", F.posexplode(F.split("content", "\n")).alias("k", "line"))
     calls = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 3) / 2).cast("int")), lambda i: F.array_join(F.slice(w, i * 2 + 3, 2), "."))
-    made = lambda w: F.when(F.size(w) >= 3, F.struct(F.get(w, F.lit(0)).alias("name"), F.get(w, F.lit(1)).alias("parent"), calls(w).alias("calls")))
-    ws = lines.withColumn("s", text.bound(text.tokens(F.col("line")), made)).filter("s IS NOT NULL")
+    made = lambda k: lambda w: F.when(F.size(w) >= 3, F.struct(k.alias("k"), F.get(w, F.lit(0)).alias("name"), F.get(w, F.lit(1)).alias("parent"), calls(w).alias("calls")))
+    lines = F.split(text.token_lines(F.col("content")), "\n")
+    found = F.filter(F.transform(lines, lambda line, k: text.bound(F.array_remove(F.split(line, " "), ""), made(k))), lambda s: s.isNotNull())
+    # A file's symbols are made once and then laid out; the outer form keeps Spark from making them a second time in a filter.
+    ws = files(spark, sf_dir).select("project_id", "file_id", "path", F.explode_outer(found).alias("s")).filter("s IS NOT NULL")
     return ws.select(
-        "project_id", "file_id", "path", F.concat_ws(":", F.col("file_id").cast("string"), (F.col("k") + 1).cast("string")).alias("symbol_id"), "s.name",
-        F.concat_ws(".", "s.parent", "s.name").alias("qualified_name"), F.when(F.col("k") % 2 == 0, "function").otherwise("class").alias("kind"), (F.col("k") + 1).alias("start_line"),
+        "project_id", "file_id", "path", F.concat_ws(":", F.col("file_id").cast("string"), (F.col("s.k") + 1).cast("string")).alias("symbol_id"), "s.name",
+        F.concat_ws(".", "s.parent", "s.name").alias("qualified_name"), F.when(F.col("s.k") % 2 == 0, "function").otherwise("class").alias("kind"), (F.col("s.k") + 1).alias("start_line"),
         "s.calls", F.array("s.parent").alias("imports"), F.array().cast("array<string>").alias("extends"),
     )
 
@@ -53,13 +56,11 @@ CHUNK_LINES = 40
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """project_id, file_id, path, language, chunk_id, chunk_type, start_line, end_line, content: blocks of lines of every file."""
-    lines = F.split("content", "\n")
     own = files(spark, sf_dir).filter(F.col("content").rlike("[^ \\t\\r\\n]"))
-    starts = own.withColumn("a", F.explode(F.sequence(F.lit(0), F.size(lines) - 1, F.lit(CHUNK_LINES))))
-    end = F.least(F.col("a") + CHUNK_LINES, F.size(lines))
+    starts = own.select("project_id", "file_id", "path", "language", "category", F.explode_outer(chunking.line_blocks(F.col("content"), CHUNK_LINES)).alias("b"))
     return starts.select(
-        "project_id", "file_id", "path", "language", F.concat_ws(":", F.col("file_id").cast("string"), (F.col("a") + 1).cast("string")).alias("chunk_id"), F.col("category").alias("chunk_type"),
-        (F.col("a") + 1).alias("start_line"), end.alias("end_line"), F.array_join(F.slice(lines, F.col("a") + 1, end - F.col("a")), "\n").alias("content"),
+        "project_id", "file_id", "path", "language", F.concat_ws(":", F.col("file_id").cast("string"), F.col("b.start_line").cast("string")).alias("chunk_id"), F.col("category").alias("chunk_type"),
+        "b.start_line", "b.end_line", "b.content",
     )
 
 
