@@ -67,6 +67,25 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, r"^\./", "")
 
 
+def unescaped_path(path: Column) -> Column:
+    """A path of git's output with its octal escapes (a backslash and three digits) as the characters of that code."""
+    pieces = F.regexp_extract_all(path, F.lit(r"(\\[0-7]{3}|[^\\]+|\\)"), 1)
+    octal = lambda p: F.char(F.conv(F.substring(p, 2, 3), 8, 10).cast("int"))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\\[0-7]{3}$"), octal(p)).otherwise(p)), "")
+
+
+def compact_number(n: Column) -> Column:
+    """1234 as 1.2k, 2500000 as 2.5M, smaller numbers as they are."""
+    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000)).when(n >= 1000, F.format_string("%.1fk", n / 1000)).otherwise(n.cast("string"))
+
+
+def relative_time(at: Column, now: Column) -> Column:
+    """How long ago: just now (under a minute), minutes, hours, days."""
+    s = now.cast("long") - at.cast("long")
+    ago = lambda unit, name: F.concat(F.floor(s / unit).cast("string"), F.lit(f"{name} ago"))
+    return F.when(s < 60, "just now").when(s < 3600, ago(60, "m")).when(s < 86_400, ago(3600, "h")).otherwise(ago(86_400, "d"))
+
+
 def last_segment(name: Column) -> Column:
     return F.element_at(F.split(name, r"\."), -1)
 

@@ -42,6 +42,32 @@ def blocks(files: DataFrame, size: int = BLOCK_LINES) -> DataFrame:
     return found.select("file_id", (F.col("b.first") + 1).alias("start_line"), (F.col("b.last") + 1).alias("end_line"), held.alias("content"))
 
 
+def blocks_between(files: DataFrame, size: int = BLOCK_LINES) -> DataFrame:
+    """(file_id, start_line, end_line, content): the lines before, between and after a file's ``spans``, in blocks.
+
+    ``spans`` holds (start_line, -end_line) of its declarations in order; what one of them ends before the
+    next begins is between them. A file without any is cut from its first line to its last.
+    """
+
+    @F.pandas_udf("array<struct<first:int,last:int>>")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        def one(text, own):
+            lines, out, at = text.split("\n"), [], 0
+            for s in [] if own is None else own:
+                if s["start_line"] - 1 > at:
+                    out += [(at + a, at + b) for a, b in block_ends(lines[at : s["start_line"] - 1], size)]
+                at = -s["minus_end"]
+            out += [(at + a, at + b) for a, b in block_ends(lines[at:], size)]
+            return [{"first": a, "last": b} for a, b in out]
+
+        return pd.Series([one(t, s) for t, s in zip(texts, spans)])
+
+    some = files.filter(F.col("content").rlike(r"\S"))
+    found = some.withColumn("b", F.explode(cut("content", "spans")))
+    held = F.array_join(F.slice(F.split("content", "\n"), F.col("b.first") + 1, F.col("b.last") - F.col("b.first") + 1), "\n")
+    return found.select("file_id", (F.col("b.first") + 1).alias("start_line"), (F.col("b.last") + 1).alias("end_line"), held.alias("content"))
+
+
 def line_blocks(content: Column, size: int) -> Column:
     """An array of (start_line, end_line, content): the text's lines, split once, in blocks of ``size``."""
 

@@ -61,25 +61,47 @@ def replaced(stored: DataFrame, fresh: DataFrame, gone: DataFrame, keys: list[st
 
 
 def index_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(symbols, chunks) of files that are to be processed.
+    """(symbols, chunks) of files that are to be processed, as ``index_rows_and_failures``."""
+    return index_rows_and_failures(files)[:2]
 
-    Markdown is cut at headings, parsed languages at declarations, the rest into blocks; a chunk's
-    symbol is the last declared one of that qualified name.
+
+def index_rows_and_failures(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(symbols, chunks, failures) of files that are to be processed; every line of a file that is not blank lies in a chunk.
+
+    Markdown is cut at headings, each a symbol too; parsed languages at declarations, and what lies
+    between two of them into blocks; the rest, and files that cannot be parsed, into blocks. A chunk's
+    symbol is the last declared one of that qualified name. Failures are (file_id, path, error).
     """
-    symbols = parsing.with_file_relations(parsing.symbols(files, paths.PARSED))
-    markdown = files.filter("language = 'markdown'")
-    sections = chunking.sections(markdown)
+    found = parsing.declarations(files, paths.PARSED)
+    failed = found.filter("kind = 'error'").select("file_id", "path", F.substring("name", 1, 2000).alias("error"))
+    symbols = parsing.with_file_relations(found.filter("kind <> 'error'"))
+    sections = chunking.sections(files.filter("language = 'markdown'"))
     lines = F.split("content", "\n")
     declared = symbols.filter("NOT (kind = 'module' AND start_line = 1 AND end_line = 1)").select("file_id", "qualified_name", F.col("kind").alias("s_kind"), "start_line", "end_line")
     cut = files.join(declared, "file_id").select("file_id", F.col("qualified_name").alias("symbol"), F.col("s_kind").alias("kind"), "start_line", "end_line", F.array_join(F.slice(lines, F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("content"))
-    plain = files.filter("language <> 'markdown'").join(declared.select("file_id").distinct(), "file_id", "left_anti")
-    blocks = chunking.blocks(plain).withColumn("symbol", F.lit(None).cast("string")).withColumn("kind", F.lit("module"))
+    spans = declared.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("start_line", (-F.col("end_line")).alias("minus_end")))).alias("spans"))
+    plain = files.filter("language <> 'markdown'").join(spans, "file_id", "left")
+    blocks = chunking.blocks_between(plain).withColumn("symbol", F.lit(None).cast("string")).withColumn("kind", F.lit("module"))
     docs = sections.withColumn("symbol", F.concat(F.lit("docs:"), F.col("heading"))).drop("heading")
     chunks = cut.unionByName(blocks).unionByName(docs).filter("content rlike '[^ \\\\s]'")
     named = chunks.join(files.select("project_id", "file_id", "path", "language", "category"), "file_id")
     typed = named.withColumn("chunk_type", paths.chunk_type(F.when(F.col("language") == "markdown", "documentation").otherwise("code"), F.col("category"))).withColumn("content_hash", content_hash(F.col("content")))
     once = typed.dropDuplicates(["file_id", "content_hash", "start_line"])
-    return symbols, once.withColumn("chunk_id", chunking.chunk_id(F.col("file_id"), F.col("content"), F.col("start_line")))
+    of_docs = parsing.section_symbols(sections.join(files.select("project_id", "file_id", "path", "language"), "file_id"))
+    return symbols.unionByName(of_docs), once.withColumn("chunk_id", chunking.chunk_id(F.col("file_id"), F.col("content"), F.col("start_line"))), failed
+
+
+def marked_failed(stored: DataFrame, failures: DataFrame) -> DataFrame:
+    """The stored files, those that failed with status and error set; failures of files that are not stored change nothing."""
+    late = failures.groupBy("file_id").agg(F.min(F.substring("error", 1, 2000)).alias("new_error"))
+    both = stored.join(late, "file_id", "left")
+    status = F.when(F.col("new_error").isNotNull(), "failed").otherwise(F.col("status"))
+    return both.select(*[c for c in stored.columns if c not in ("status", "error")], status.alias("status"), F.coalesce("new_error", F.col("error") if "error" in stored.columns else F.lit(None).cast("string")).alias("error"))
+
+
+def payload(chunks: DataFrame) -> DataFrame:
+    """Adds the module of each chunk's symbol: what stands before the first point of its name."""
+    return chunks.withColumn("module", F.substring_index("symbol", ".", 1))
 
 
 def run_counters(plan: DataFrame, chunks: DataFrame, symbols: DataFrame, gone: DataFrame) -> DataFrame:

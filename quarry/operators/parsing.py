@@ -97,15 +97,18 @@ def _braced(path: str, text: str) -> list[dict]:
 
 
 def parse(path: str, language: str, text: str) -> list[dict]:
-    """The symbols of one file; a declaration's qualified name has its nearest parent's plain name."""
+    """The symbols of one file; a declaration's qualified name has its nearest parent's plain name.
+
+    A file that cannot be parsed gives one row of the kind ``error``, whose name says why.
+    """
     try:
         return _python(path, text) if language == "python" else _braced(path, text)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
+    except (SyntaxError, ValueError, RecursionError) as e:
+        return [_symbol(f"{type(e).__name__}: {e}", None, "error", 1, 1)]
 
 
-def symbols(files: DataFrame, parsed: tuple[str, ...]) -> DataFrame:
-    """The symbols of files of the ``parsed`` languages: file_id, path, language and the symbol's fields."""
+def declarations(files: DataFrame, parsed: tuple[str, ...]) -> DataFrame:
+    """The symbols of files of the ``parsed`` languages: file_id, path, language and the symbol's fields; errors as ``parse`` gives them."""
 
     @F.pandas_udf(f"array<{_PARSED}>")
     def run(paths: pd.Series, languages: pd.Series, texts: pd.Series) -> pd.Series:
@@ -115,6 +118,21 @@ def symbols(files: DataFrame, parsed: tuple[str, ...]) -> DataFrame:
     return found.select("project_id", "file_id", "path", "language", F.concat_ws(":", F.col("file_id").cast("string"), F.col("s.start_line").cast("string"), "s.qualified_name").alias("symbol_id"), "s.*")
 
 
+def symbols(files: DataFrame, parsed: tuple[str, ...]) -> DataFrame:
+    """The symbols alone; files that cannot be parsed have none."""
+    return declarations(files, parsed).filter("kind <> 'error'")
+
+
+def section_symbols(sections: DataFrame) -> DataFrame:
+    """The symbols of markdown sections that have a heading, by its name."""
+    none = F.array().cast("array<string>")
+    return sections.filter("heading IS NOT NULL").select(
+        "project_id", "file_id", "path", "language", F.concat_ws(":", F.col("file_id").cast("string"), F.col("start_line").cast("string"), "heading").alias("symbol_id"),
+        F.col("heading").alias("name"), F.col("heading").alias("qualified_name"), F.lit("section").alias("kind"), "start_line", "end_line", F.lit(None).cast("string").alias("parent_name"),
+        none.alias("calls"), none.alias("imports"), none.alias("extends"),
+    )
+
+
 def with_file_relations(symbols: DataFrame) -> DataFrame:
     """Top-level symbols also have the calls and imports of their file's module symbol, each once."""
     module = symbols.filter("kind = 'module' AND start_line = 1 AND end_line = 1").groupBy("file_id").agg(F.first("calls").alias("file_calls"), F.first("imports").alias("file_imports"))

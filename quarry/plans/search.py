@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,13 @@ class Index:
         return Index(*own)
 
 
+    def across(self, project_ids: list[str] | None = None) -> "Index":
+        """Several projects, or all, as one index. Paths begin with their project, so that equal ones stay apart."""
+        tables = (self.files, self.chunks, self.symbols, self.vectors)
+        own = [t if project_ids is None else t.filter(F.col("project_id").isin(project_ids)) for t in tables]
+        return Index(*[t.withColumn("path", F.concat_ws(":", "project_id", "path")) for t in own])
+
+
 def clamped(limit: int | None) -> int:
     return max(1, min(MAX_LIMIT, DEFAULT_LIMIT if limit is None else limit))
 
@@ -54,6 +63,29 @@ def merged(index: Index, query: str, vector: list[float], limit: int) -> DataFra
     )
 
 
+_CONTENT = ("project_id", "chunk_id", "file_id", "language", "symbol", "kind", "end_line", "content", "chunk_type")
+
+
+def with_content(places: DataFrame, index: Index) -> DataFrame:
+    """The few ``places`` of an answer with the chunk that begins at each (the first by chunk_id); nulls where none does."""
+    keys = ["path", "start_line"]
+    fields = [c for c in _CONTENT if c in index.chunks.columns]
+    held = index.chunks.join(F.broadcast(places.select(*keys)), keys, "left_semi")  # an answer has at most 50 places
+    one = held.groupBy(*keys).agg(F.min(F.struct("chunk_id", *[c for c in fields if c != "chunk_id"])).alias("c"))
+    return places.join(one, keys, "left").select(*places.columns, *[F.col(f"c.{c}").alias(c) for c in fields])
+
+
+def reranked(items: DataFrame, rerank: Callable[[list[str]], list[float]]) -> DataFrame:
+    """``items`` (with content) ordered by what ``rerank`` makes of their texts, all in one call; an answer has at most 50."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(reranked=[float(x) for x in rerank(frame["content"].fillna("").tolist())])
+
+    scored = items.coalesce(1).mapInPandas(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in items.schema)}, reranked double")
+    return scored.orderBy(F.desc("reranked"), "path", "start_line")
+
+
 def search(index: Index, query: str, mode: str = "hybrid", limit: int | None = None, vector: list[float] | None = None) -> DataFrame:
     """(path, start_line, score, hybrid, provenance) of the best places for a query, by mode."""
     k = clamped(limit)

@@ -267,3 +267,26 @@ def test_search_is_scoped(spark):
         search(index, "x", "hybrid")
     with pytest.raises(NotFound):
         index.of("nobody")
+
+
+def test_every_line_lies_in_a_chunk(spark):
+    text = "import os\n\nX = 1\n\ndef a():\n    return 1\n\nprint(a())\n\nclass B:\n    def c(self):\n        pass\n\n    def d(self):\n        pass\n\nif __name__ == '__main__':\n    a()\n"
+    rows = [("p", 1, "a.py", "python", "code", text), ("p", 2, "b.md", "markdown", "documentation", "before\n# One\nx\n\n## Two\ny"), ("p", 3, "c.py", "python", "code", "def broken(:\n  x"), ("p", 4, "d.py", "python", "code", ""), ("p", 5, "e.txt", "text", "documentation", "one\ntwo")]
+    files = spark.createDataFrame(rows, "project_id string, file_id long, path string, language string, category string, content string")
+    symbols, chunks, failed = indexing.index_rows_and_failures(files)
+    held = {}
+    for c in chunks.collect():
+        held.setdefault(c.file_id, set()).update(range(c.start_line, c.end_line + 1))
+    for _, i, _, _, _, content in rows:
+        assert {n for n, line in enumerate(content.split("\n"), 1) if line.strip()} <= held.get(i, set())
+    assert {(s.name, s.kind, s.start_line, s.end_line) for s in symbols.collect() if s.file_id == 2} == {("One", "section", 2, 4), ("Two", "section", 5, 6)}
+    assert [(f.file_id, f.error.split(":")[0]) for f in failed.collect()] == [(3, "SyntaxError")]
+    stored = files.select("file_id", "path").withColumn("status", F.lit("indexed"))
+    marked = {r.file_id: (r.status, bool(r.error)) for r in indexing.marked_failed(stored.filter("file_id < 5"), failed).collect()}
+    assert marked == {1: ("indexed", False), 2: ("indexed", False), 3: ("failed", True), 4: ("indexed", False)}
+
+
+def test_hidden_edges_of_files_put_together(spark):
+    rows = [(1, 1, "a\nb\nc"), (1, 2, "b\nc\nd"), (1, 3, "c"), (1, 5, "e\nf"), (2, 1, "x")]
+    got = {r.file_id: r.content for r in chunking.reconstructed(spark.createDataFrame(rows, "file_id long, start_line int, content string")).collect()}
+    assert got == {1: "a\nb\nc\nd\ne\nf", 2: "x"}

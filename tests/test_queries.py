@@ -1,4 +1,4 @@
-"""Every query of the catalog against its SQL on the smallest tables."""
+"""Every query of the catalog and of the operations against its SQL on the smallest tables."""
 
 import glob
 import os
@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quarry.plans import catalog
+from quarry.plans import operations as catalog
 
 
 @pytest.fixture(scope="module")

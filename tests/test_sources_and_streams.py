@@ -6,8 +6,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.operators import jobs
+from quarry.plans.search import Index, reranked, search, with_content
 from quarry.schemas import DELIVERY, JOB_EVENT
-from quarry.sources import files
+from quarry.sources import files, sinks, tables
 from quarry.streaming import events
 
 
@@ -90,3 +92,45 @@ def test_job_states(spark, tmp_path):
     assert got == {"1": ("completed", t(1), t(5)), "2": ("cancelled", t(2), None)}
     assert events.advance(("failed", t(1), t(2)), [("queued", t(3)), ("running", t(4))]) == ("running", t(4), None)
     assert F is not None
+
+
+def test_index_runs_replace_and_keep(spark, tmp_path):
+    folder, schema = str(tmp_path / "index"), "project_id string, file_id long, path string, language string, category string, content string"
+    first = [("p", 1, "a.py", "python", "code", "def a():\n    return 1\n"), ("p", 2, "b.py", "python", "code", "x = 1"), ("p", 3, "c.md", "markdown", "documentation", "# T\ntext"), ("p", 4, "node_modules/x.js", "javascript", "code", "var x")]
+    one = sinks.run_index(spark, folder, spark.createDataFrame(first, schema), "initial").first()
+    assert (one.processed, one.skipped, one.deleted, one.failed) == (3, 0, 0, 0) and one.chunks == 3
+    then = [first[0], ("p", 2, "b.py", "python", "code", "def broken(:"), ("q", 5, "n.py", "python", "code", "y = 2")]
+    two = sinks.run_index(spark, folder, spark.createDataFrame(then, schema)).first()
+    assert (two.processed, two.skipped, two.deleted, two.failed) == (2, 1, 1, 1)
+    files_now = {r.path: r.status for r in sinks.stored(spark, folder, "files").collect()}
+    assert files_now == {"a.py": "indexed", "b.py": "failed", "n.py": "indexed"}
+    assert {r.path for r in sinks.stored(spark, folder, "chunks").collect()} == {"a.py", "b.py", "n.py"}
+    assert sinks.current_version(spark, folder) == 1
+    assert sinks.run_index(spark, folder, spark.createDataFrame(then, schema), "full").first().processed == 3
+
+
+def test_other_sinks(spark, tmp_path):
+    events = spark.createDataFrame([("queue_depth", "p", 1.0), ("other", "p", 2.0)], "name string, project_id string, value double").withColumn("recorded_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    for _ in range(2):
+        sinks.append_metrics(events, str(tmp_path / "m"))
+    assert [r.name for r in spark.read.parquet(str(tmp_path / "m")).collect()] == ["queue_depth"] * 2
+    left = sinks.without_project({"jobs": spark.createDataFrame([("p", 1), ("q", 2), (None, 3)], "project_id string, id int")}, "p")
+    assert sorted(r.id for r in left["jobs"].collect()) == [2, 3]
+    lines = [r.line for r in sinks.report(spark.createDataFrame([("b", 0.5, 1.0, None), ("a", None, None, "lost")], "id string, recall_5 double, recall_10 double, error string")).collect()]
+    assert [x.split() for x in lines] == [["question", "at", "5", "at", "10"], ["a", "-", "-", "lost"], ["b", "0.500", "1.000"], ["mean", "0.500", "1.000", "passed"]]
+
+
+def test_webhook_secrets_are_hmacs(spark):
+    for secret in ("s", "k" * 100):
+        got = spark.createDataFrame([("p1",)], "id string").select(jobs.webhook_secret(F.col("id"), secret).alias("s")).first().s
+        assert got == hmac.new(secret.encode(), b"webhook:p1", hashlib.sha256).hexdigest()
+    assert spark.range(1).select(jobs.webhook_secret(F.col("id"), "s", "all").alias("s")).first().s == "all"
+
+
+def test_search_across_projects_and_content(spark, sf_dir):
+    index = Index(tables.files(spark, sf_dir), tables.chunks(spark, sf_dir), tables.symbols(spark, sf_dir), tables.vectors(spark, sf_dir))
+    found = search(index.across(), "that the", "lexical", 5)
+    items = with_content(found, index.across()).collect()
+    assert len(items) == 5 and all(r.path.startswith(f"{r.project_id}:") and "the" in r.content.lower() for r in items)
+    best = reranked(with_content(found, index.across()), lambda texts: [-len(t) for t in texts]).collect()
+    assert [len(r.content) for r in best] == sorted(len(r.content) for r in items)
