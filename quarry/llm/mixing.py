@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import spread_join, staged
 from .words import free_name, let
 
 #: Tables of at most this many sources (a row has at most about 4 KB) are broadcast, larger ones are shuffled.
@@ -66,12 +66,17 @@ def replicate(docs: DataFrame, weights: DataFrame, by: str = "source", scale: fl
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")
     rate = rates(docs, weights, by, scale).withColumn("parts", parts)
     table = staged(rate.select(F.col(by).alias(q_by), F.col("parts").alias(q_parts), distribution(F.col("rate") / F.col("parts")).alias(q_sums)), "rates")
-    if table.count() <= BROADCAST_SOURCES:
-        table = F.broadcast(table)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     draw = lambda part: let(_uniform(F.lit(seed), key, part.cast("string")), lambda u: F.size(F.filter(q_sums, lambda s: s <= u)))
     n = F.aggregate(F.sequence(F.lit(1), F.col(q_parts)), F.lit(0), lambda acc, k: acc + draw(k))
-    counted = docs.join(table, docs[by].eqNullSafe(table[q_by])).withColumn("n_copies", n)
+    if table.count() <= BROADCAST_SOURCES:
+        joined = docs.join(F.broadcast(table), docs[by].eqNullSafe(table[q_by]))
+    else:
+        q_n = free_name(docs, "q_n")
+        held = staged(docs.groupBy(F.col(by).alias(q_by)).agg(F.count("*").alias(q_n)), "source-rows")
+        sized = table.join(held.withColumnRenamed(q_by, q_by + "_"), table[q_by].eqNullSafe(F.col(q_by + "_"))).drop(q_by + "_").withColumnRenamed(q_by, by)
+        joined = spread_join(docs, sized, by, q_n, docs.count(), key)
+    counted = joined.withColumn("n_copies", n)
     copies = counted.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     order = F.xxhash64(F.lit(seed), key, "copy", "text")
     return copies.drop(q_by, q_parts, q_sums).repartition(order).sortWithinPartitions(order)

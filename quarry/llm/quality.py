@@ -55,7 +55,9 @@ def with_statistics(docs: DataFrame, name: str = "q_stats") -> DataFrame:
         "n_dup_lines": F.col(f"{q_lines}.d"), "n_repeat_words": F.col(f"{q_words}.r"), "n_lines": F.col(f"{q_lines}.n"),
         "n_upper": _count(text, UPPER), "n_digits": _count(text, "0123456789"), "n_marks": _count(text, "!?"),
     }
-    return first.withColumn(name, F.struct(*[counts[k].cast("long").alias(k) for k in _STATS])).drop(q_words, q_lines)
+    made = F.struct(*[counts[k].cast("long").alias(k) for k in _STATS])
+    # Laid out from an array of one, so that filters on the counts read them: else Spark counts anew for every condition.
+    return first.withColumn(name, F.explode_outer(F.array(made))).drop(q_words, q_lines)
 
 
 def features(name: str = "q_stats") -> dict[str, Column]:

@@ -7,7 +7,10 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .words import free_name
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -59,6 +62,25 @@ def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
         spark.conf.set(_BATCH, before)
 
 
+#: A key with more than this share of the rows is spread over several tasks when they are joined to a table.
+HOT_SHARE = 1 / 64
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str, total: int, by: Column, how: str = "inner") -> DataFrame:
+    """``rows`` and the one row of ``table`` for each key (null included); ``n`` of ``table`` says how many of ``total`` rows have the key.
+
+    Hot keys, of which there are fewer than 64, are known to every task: their rows are dealt by the hash
+    of ``by`` to several tasks, each of which gets the key's row of ``table`` too. ``n`` is left out.
+    """
+    hot_key, parts, salt, own = (free_name(rows, c) for c in ("q_hot", "q_parts", "q_salt", "q_key"))
+    cells = F.ceil(F.col(n) / F.lit(max(1, total)) / F.lit(HOT_SHARE) * 2).cast("int")
+    sized = table.withColumn(parts, F.when(F.col(n) > total * HOT_SHARE, cells).otherwise(1))
+    hot = F.broadcast(sized.filter(F.col(parts) > 1).select(F.col(key).alias(hot_key), parts))
+    dealt = rows.join(hot, rows[key].eqNullSafe(hot[hot_key]), "left").withColumn(salt, F.pmod(F.xxhash64(by), F.coalesce(parts, F.lit(1)).cast("long")).cast("int")).drop(hot_key, parts)
+    copied = sized.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(parts) - 1))).withColumnRenamed(key, own).drop(parts, n)
+    return dealt.join(copied, dealt[key].eqNullSafe(copied[own]) & (dealt[salt] == copied[salt]), how).drop(copied[salt]).drop(salt, own)
+
+
 def task_files(uri: str):
     """(filesystem, path) through pyarrow, for tasks that read or write files in the shared folder."""
     from pyarrow import fs

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import spread_join, staged
 from .words import ascii_lower, let, windows, words
 
 BITS = 64
@@ -238,12 +238,12 @@ def near_duplicates(docs: DataFrame, distance: int = 3, size: int = 3, count: in
     there is no other (then null); repeated rows stay; an empty table gives no rows.
     """
     rows = staged(fingerprints(docs, size), "fingerprints")
-    fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     root = components(links(fps.select("fp"), distance, count)).withColumnRenamed("node", "fp")
-    rooted = fps.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    rooted = staged(fps.join(root, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m")), "least")
+    named = spread_join(rooted, least, "root", "m", fps.count(), F.col("fp")).select("fp", "n", "component_id")  # a large component or
+    return spread_join(rows, named, "fp", "n", rows.count(), F.col("doc_id")).select("doc_id", "fp", "component_id")  # many copies may be hot
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

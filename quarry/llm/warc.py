@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_folder, small_batches, staged, task_files
+from .shared import new_folder, small_batches, spread_join, staged, task_files
 
 #: Archives are closed at this size; a task of the reader has one archive at a time.
 ARCHIVE_BYTES = 32 << 20
@@ -31,6 +31,8 @@ ARCHIVE_BYTES = 32 << 20
 REVISIT_BYTES = 100
 #: A table of repeated payloads of at most this many rows (of about 100 bytes) is broadcast, a larger one is shuffled.
 BROADCAST_ROWS = 50_000
+#: A gzip member that inflates beyond this is quarantined, so that no archive can use up a task's memory.
+MEMBER_BYTES = 1 << 30
 _GZIP = b"\x1f\x8b\x08"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")  # damage may have taken the end of the line before
 _VERSION = re.compile(rb"WARC/\d\.\d\r\n")
@@ -65,12 +67,14 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), "url", body.alias("html"), F.sha2(body, 256).alias("digest"))
     long = rows.filter(F.octet_length("html") >= REVISIT_BYTES)
-    firsts = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    firsts = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     firsts = staged(firsts, "repeated-payloads")
     if firsts.count() <= BROADCAST_ROWS:
-        firsts = F.broadcast(firsts)
+        joined = rows.join(F.broadcast(firsts.drop("n")), "digest", "left")
+    else:
+        joined = spread_join(rows, firsts, "digest", "n", rows.count(), F.col("page_id"), "left")
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    marked = rows.join(firsts, "digest", "left").select("page_id", "url", F.octet_length("html").cast("long").alias("n_bytes"), F.when(~other | other.isNull(), F.col("html")).alias("html"), "digest", F.when(other, F.col("first")).alias("refers_to"))
+    marked = joined.select("page_id", "url", F.octet_length("html").cast("long").alias("n_bytes"), F.when(~other | other.isNull(), F.col("html")).alias("html"), "digest", F.when(other, F.col("first")).alias("refers_to"))
 
     def write(batches):
         store, top = task_files(folder)
@@ -170,9 +174,11 @@ def _member(buf, start: int, stop: int) -> tuple[bytes, int]:
         piece = bytes(buf[at : min(stop, at + (1 << 16))])
         at += len(piece)
         try:
-            out += pull.decompress(piece)
+            out += pull.decompress(piece, MEMBER_BYTES + 1 - len(out))
         except zlib.error as e:
             raise Broken("broken member") from e
+        if len(out) > MEMBER_BYTES:
+            raise Broken("member too large")
         if len(out) >= 5 and not out.startswith(b"WARC/"):
             raise Broken("member without version line")
     return bytes(out), at - len(pull.unused_data)
@@ -225,7 +231,9 @@ def salvage(archives: DataFrame, keep_payload: bool = True) -> DataFrame:
     A record has start and end of its bytes, its type and headers, and its payload if asked for; a gap
     has start, end and the reason in ``gap``, and nulls otherwise. Length and digest are those of the
     payload that was read; a revisit says those of the payload it stands for. An empty archive gives
-    no rows; an archive named twice is read twice.
+    no rows; an archive named twice is read twice. Where a record is damaged, whole records inside its
+    payload are recovered as records of their own. A task holds one archive: mapped where the folder is
+    mounted, else read, so archives there should stay at the usual gigabyte.
     """
     n = max(1, archives.count())
 

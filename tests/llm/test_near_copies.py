@@ -4,8 +4,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import near_copies
+from quarry.llm.shared import spread_join
 
 from .test_simhash import LOWER
 
@@ -98,3 +100,12 @@ def test_shape_keeps_tables_sparse_and_misses_few():
     for n in (1, 10**5, 10**7, 10**10):
         width, count, unsure = near_copies.shape(n)
         assert width * count >= near_copies.CHECKED and (n << unsure) / 2**width <= 400
+
+
+def test_hot_keys_are_spread_and_lose_nothing(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else "hot" if i % 3 == 1 else f"k{i}") for i in range(600)], "id int, k string")
+    table = rows.groupBy("k").count().withColumnRenamed("count", "n").filter("k IS NULL OR k <> 'k599'").selectExpr("k", "n", "coalesce(k, 'none') AS v")
+    for how, size in (("left", 600), ("inner", 599)):
+        got = spread_join(rows, table, "k", "n", 600, F.col("id"), how)
+        assert got.columns == ["id", "k", "v"] and got.count() == size
+        assert all(r.v == (r.k or "none") or r.k == "k599" for r in got.collect())

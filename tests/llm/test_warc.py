@@ -132,3 +132,11 @@ def test_gaps_are_reported_by_the_reader(spark, tmp_path):
     assert sorted(r.page_id for r in found if not r.gap) == [1, 2]
     assert [(r.start, r.end) for r in found if r.gap] == [(len(record(1)), len(record(1)) + 6)]
     assert task_files(f"file://{tmp_path}")[1] == os.fspath(tmp_path)
+
+
+def test_a_member_that_inflates_too_far_is_quarantined(monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 100_000)
+    large = gzip.compress(record(1, "x" * 5_000_000))
+    parts = [gzip.compress(record(0)), large, gzip.compress(record(2))]
+    ids, gaps = seen(b"".join(parts))
+    assert ids == [0, 2] and gaps == [(len(parts[0]), len(parts[0]) + len(large), "member too large")]
