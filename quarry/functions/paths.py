@@ -22,16 +22,28 @@ SKIPPED_FOLDERS = [
     ".git", "node_modules", ".venv", "venv", "dist", "build", "target", ".next", "__pycache__", ".cache", "coverage", ".pytest_cache",
     "vendor", "bower_components", ".terraform", "Pods", ".gradle", ".idea", ".vscode",
 ]
-SKIPPED_ENDINGS = r"\.(png|jpg|jpeg|gif|svg|ico|webp|bmp|tiff|woff|woff2|ttf|otf|eot|mp4|mp3|mov|avi|pdf|zip|gz|tar|tgz|bz2|7z|jar|war|class|pyc|o|a|so|dylib|dll|exe|wasm|lock|lockb)$"
+SKIPPED_EXTENSIONS = [
+    "png", "jpg", "jpeg", "gif", "svg", "ico", "webp", "bmp", "tiff", "woff", "woff2", "ttf", "otf", "eot", "mp4", "mp3", "mov", "avi", "pdf", "zip", "gz", "tar", "tgz",
+    "bz2", "7z", "jar", "war", "class", "pyc", "o", "a", "so", "dylib", "dll", "exe", "wasm", "lock", "lockb",
+]
 SKIPPED_NAMES = [".gitignore", ".dockerignore", ".gitmodules"]
-#: Patterns of base names by category, the first that fits decides.
-TEST_NAMES = r"\.(test|spec|tests)\.[a-z0-9]+$|_test\.[a-z0-9]+$|^test_|__tests__|\.test\.|\.spec\."
-DOCUMENT_NAMES = r"\.(md|mdx|markdown|rst|txt|adoc)$"
-SETTING_NAMES = (
-    r"\.(json|jsonc|yaml|yml|toml|ini|cfg|conf|config|properties|env|editorconfig|gitignore|dockerignore|lock|lockb)$"
-    r"|^(Dockerfile|Containerfile|Makefile|makefile|GNUMakefile|\.env.*)$"
-    r"|^(vitest\.config.*|jest\.config.*|next\.config.*|eslint\.config.*|prettier\.config.*|go\.mod|go\.sum|Pipfile)$"
-)
+#: What marks base names of each category: words between points, endings, beginnings and whole names.
+TEST_WORDS, TEST_PIECES = ["test", "spec", "tests"], [".test.", ".spec.", "__tests__"]
+DOCUMENT_EXTENSIONS = ["md", "mdx", "markdown", "rst", "txt", "adoc"]
+SETTING_EXTENSIONS = ["json", "jsonc", "yaml", "yml", "toml", "ini", "cfg", "conf", "config", "properties", "env", "editorconfig", "gitignore", "dockerignore", "lock", "lockb"]
+SETTING_WHOLE = ["Dockerfile", "Containerfile", "Makefile", "makefile", "GNUMakefile", "go.mod", "go.sum", "Pipfile"]
+SETTING_STARTS = [".env", "vitest.config", "jest.config", "next.config", "eslint.config", "prettier.config"]
+
+
+def _plain(names: list[str]) -> str:
+    return "|".join(n.replace(".", r"\.") for n in names)
+
+
+#: The patterns made of them; the first category that fits decides.
+SKIPPED_ENDINGS = rf"\.({_plain(SKIPPED_EXTENSIONS)})$"
+TEST_NAMES = rf"\.({_plain(TEST_WORDS)})\.[a-z0-9]+$|_test\.[a-z0-9]+$|^test_|{_plain(TEST_PIECES)}"
+DOCUMENT_NAMES = rf"\.({_plain(DOCUMENT_EXTENSIONS)})$"
+SETTING_NAMES = rf"\.({_plain(SETTING_EXTENSIONS)})$|^({_plain(SETTING_WHOLE)})$|^({_plain(SETTING_STARTS)})"
 #: Pieces of a path that make it a test file to the structural search.
 TEST_PATHS = [".test.", ".spec.", "_test.", "__tests__", "/tests/", "/test/"]
 MAX_BYTES = 1_000_000

@@ -92,3 +92,26 @@ def health(jobs: DataFrame, repositories: DataFrame, since) -> DataFrame:
     row = r.first()  # one number
     failed = F.lit(row["failed_repositories"]).cast("long")
     return q.withColumn("failed_repositories", failed).withColumn("status", F.when((F.col("recent_failures") == 0) & (failed == 0), "healthy").otherwise("degraded"))
+
+
+def queue_depth(jobs: DataFrame) -> DataFrame:
+    """One row: jobs that wait or run, and jobs that failed."""
+    return jobs.agg(F.count_if(F.col("status").isin("queued", "running", "waiting", "active", "delayed")).alias("queue_depth"), F.count_if(F.col("status") == "failed").alias("failed"))
+
+
+def index_status(jobs: DataFrame) -> DataFrame:
+    """Per project its waiting jobs, and the newest job (by at, job_id) with its time."""
+    return jobs.groupBy("project_id").agg(F.count_if(F.col("status") == "queued").alias("queued"), F.max("at").alias("last_at"), F.max_by("job_id", F.struct("at", "job_id")).alias("last_job"))
+
+
+def first_deliveries(deliveries: DataFrame, keys: list[str], delivery: str) -> DataFrame:
+    """The first delivery of each id; streams use ``quarry.streaming.events.once``."""
+    return deliveries.groupBy(*keys).agg(F.min(delivery).alias(delivery))
+
+
+def project_stats(files: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Per project its files, and the number, the indexed ones and the size of their jobs; jobs are summed up by file before they meet the files."""
+    each = jobs.groupBy("file_id").agg(F.count("*").alias("jobs"), F.count_if(F.col("status") == "indexed").alias("indexed"), F.sum("size").alias("size"))
+    zero = lambda n: F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n)
+    rows = files.select("project_id", "file_id").join(each, "file_id", "left").groupBy("project_id")
+    return rows.agg(F.count("*").alias("files"), zero("indexed"), zero("jobs"), F.round(F.coalesce(F.sum("size"), F.lit(0.0)), 2).alias("size"))

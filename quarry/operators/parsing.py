@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -68,22 +70,25 @@ def _python(path: str, text: str) -> list[dict]:
 
 def _braced(path: str, text: str) -> list[dict]:
     lines, out, open_ones, covered = text.split("\n"), [], [], set()
+    starts = list(accumulate((len(x) + 1 for x in lines), initial=0))  # where each line begins
+    balance = list(accumulate((x.count("{") - x.count("}") for x in lines), initial=0))
+    called = [(c.start(1), c.group(1)) for c in _CALL.finditer(text) if c.group(1) not in _NOT_CALLS]  # found once a file
+    places = [at for at, _ in called]
     imports = [next(g for g in m.groups() if g) for m in map(_IMPORT.match, lines) if m]
     for i, line in enumerate(lines):
         open_ones = [d for d in open_ones if d[1] >= i]
         for kind, pattern in _DECLARED:
             if m := pattern.match(line):
-                depth, end, opened = 0, i, False
+                end, opened = i, False
                 for j in range(i, len(lines)):
-                    depth += lines[j].count("{") - lines[j].count("}")
                     opened = opened or "{" in lines[j]
                     end = j
-                    if depth <= 0 and (opened or lines[j].rstrip().endswith(";") or j > i + 3):
+                    if balance[j + 1] <= balance[i] and (opened or lines[j].rstrip().endswith(";") or j > i + 3):
                         break
                 end = end if opened else i
                 parent = open_ones[-1][0] if open_ones else None
-                body = "\n".join(lines[i : end + 1])
-                calls = [c.group(1).replace("new ", "") for c in _CALL.finditer(body) if c.group(1) not in _NOT_CALLS and c.group(1) != m.group(1)]
+                inside = called[bisect_left(places, starts[i]) : bisect_left(places, starts[end + 1])]
+                calls = [c.replace("new ", "") for _, c in inside if c != m.group(1)]
                 heritage = re.findall(r"\b(?:extends|implements)\s+([\w., <>]+)|:\s*(?:public\s+)?([A-Z]\w*)", m.group(2)) if kind in ("class", "interface") else []
                 extends = [x.strip() for a, b in heritage for x in re.split(r",|\bimplements\b|\bextends\b", a or b) if x.strip()]
                 kind = "method" if kind == "function" and parent and any(d[2] == "class" for d in open_ones) else kind

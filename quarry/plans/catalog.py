@@ -262,7 +262,12 @@ def block_chunks(spark, sf):
     return own.select("file_id", "start_line", "end_line", F.sha2("content", 256).alias("content_hash"))
 
 
-@query()
+_CUT = "CASE WHEN {s} + 29 <= len(ls) - 1 THEN coalesce(list_max(list_filter(range({s} + 21, {s} + 30), lambda i: regexp_matches(ls[i + 1], '^\\s*$'))), {s} + 29) ELSE len(ls) - 1 END"
+
+
+@query(f"""WITH RECURSIVE {FILES_SQL}, f AS (SELECT file_id, string_split(content, chr(10)) AS ls FROM files WHERE regexp_matches(content, '\S')),
+b AS (SELECT file_id, ls, 0::BIGINT AS s, {_CUT.format(s="0")} AS e FROM f UNION ALL SELECT file_id, ls, e + 1, {_CUT.format(s="(e + 1)")} FROM b WHERE e < len(ls) - 1)
+SELECT file_id, (s + 1)::INTEGER AS start_line, (e + 1)::INTEGER AS end_line, sha256(array_to_string(ls[s + 1 : e + 1], chr(10))) AS content_hash FROM b""")
 def blank_aware_chunks(spark, sf):
     """Every file in blocks that prefer to end on blank lines."""
     return chunking.blocks(tables.files(spark, sf), 30).select("file_id", "start_line", "end_line", F.sha2("content", 256).alias("content_hash"))
@@ -304,10 +309,14 @@ def hash_embedding_seed(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", vec.text_seed(F.col("text")).alias("seed"))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT item_id, list_reduce(list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: ascii(c)::BIGINT), lambda h, c: ((xor(h, c) * 16777619) & 4294967295)::BIGINT, 2166136261::BIGINT) AS seed FROM benchmark),
+r AS (SELECT item_id, seed AS x, 0 AS i FROM s UNION ALL SELECT item_id, (x * 1103515245 + 12345) & 4294967295, i + 1 FROM r WHERE i < 64),
+v AS (SELECT item_id, i, x / 4294967295.0::DOUBLE * 2 - 1 AS v FROM r WHERE i > 0)
+SELECT item_id, i AS place, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)), 9) AS value FROM v""")
 def hash_embeddings(spark, sf):
-    """Hash embeddings of all benchmark texts."""
-    return table(spark, sf, "benchmark").select("item_id", vec.hash_embedding(F.col("text")).alias("embedding"))
+    """Hash embeddings of all benchmark texts, a row for each component."""
+    made = table(spark, sf, "benchmark").select("item_id", F.posexplode(vec.hash_embedding(F.col("text"))).alias("place", "value"))
+    return made.select("item_id", (F.col("place") + 1).alias("place"), F.round("value", 9).alias("value"))
 
 
 @query(f"WITH {CHUNKS_SQL}, h AS (SELECT chunk_id, sha256('chunk:' || chunk_id) AS h FROM chunks) SELECT chunk_id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], h[17:20], h[21:32]) AS point_id FROM h")
@@ -320,11 +329,9 @@ def point_ids(spark, sf):
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def project_stats(spark, sf):
     """Counts by project of its files and jobs, summed up from each file's."""
-    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
-    each = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("jobs"), F.count_if(F.col("o_orderstatus") == "F").alias("indexed"), F.sum("o_totalprice").alias("size"))
-    rows = c.join(each, "c_custkey", "left").groupBy(F.col("c_mktsegment").alias("project_id"))
-    zero = lambda n: F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n)
-    return rows.agg(F.count("*").alias("files"), zero("indexed"), zero("jobs"), F.round(F.coalesce(F.sum("size"), F.lit(0.0)), 2).alias("size"))
+    files = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("project_id"), F.col("c_custkey").alias("file_id"))
+    own = table(spark, sf, "orders").select(F.col("o_custkey").alias("file_id"), F.when(F.col("o_orderstatus") == "F", "indexed").otherwise("pending").alias("status"), F.col("o_totalprice").alias("size"))
+    return analytics.project_stats(files, own)
 
 
 @query("SELECT language, count(*)::BIGINT AS n FROM (WITH " + FILES_SQL + " SELECT language FROM files) GROUP BY language")
@@ -394,7 +401,7 @@ def webhook_classify(spark, sf):
 @query("SELECT user_id, props, min(event_id) AS event_id FROM events GROUP BY 1, 2")
 def webhook_dedup(spark, sf):
     """The first delivery of each id."""
-    return table(spark, sf, "events").groupBy("user_id", "props").agg(F.min("event_id").alias("event_id"))
+    return analytics.first_deliveries(table(spark, sf, "events"), ["user_id", "props"], "event_id")
 
 
 @query("""WITH g AS (SELECT user_id, ts, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
@@ -497,11 +504,12 @@ def api_key_hashes(spark, sf):
 @query("""SELECT event_type AS project_id, count(*) FILTER (WHERE value < 100)::BIGINT AS queued, max(ts) AS last_at, arg_max(event_id, (ts, event_id)) AS last_job FROM events GROUP BY 1""")
 def index_status(spark, sf):
     """Per project its waiting jobs, and the newest job with its time."""
-    e = table(spark, sf, "events").withColumnRenamed("event_type", "project_id")
-    return e.groupBy("project_id").agg(F.count_if(F.col("value") < 100).alias("queued"), F.max("ts").alias("last_at"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_job"))
+    status = F.when(F.col("value") < 100, "queued").otherwise("completed")
+    return analytics.index_status(table(spark, sf, "events").select(F.col("event_type").alias("project_id"), F.col("event_id").alias("job_id"), F.col("ts").alias("at"), status.alias("status")))
 
 
 @query("""SELECT count_if(o_orderstatus IN ('O'))::BIGINT AS queue_depth, count_if(o_orderstatus = 'F')::BIGINT AS failed FROM orders""")
 def queue_depth(spark, sf):
     """Jobs waiting and failed."""
-    return table(spark, sf, "orders").agg(F.count_if(F.col("o_orderstatus").isin("O")).alias("queue_depth"), F.count_if(F.col("o_orderstatus") == "F").alias("failed"))
+    status = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "F", "failed").otherwise("completed")
+    return analytics.queue_depth(table(spark, sf, "orders").select(status.alias("status")))
