@@ -5,27 +5,34 @@ Each stage works on all that the one before it kept. All but the last return the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import mixing, near_copies, packing, quality, toxicity
 from quarry.llm.shared import staged
+from quarry.llm.words import free_name
 
 
-def _columns(docs: DataFrame) -> list[str]:
-    return [f"`{c}`" for c in docs.columns]
+def _beside(docs: DataFrame, made: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on the documents, whose own columns named as the ``made`` ones are put aside; with these columns alone."""
+    aside = {c: free_name(docs, f"own_{c}") for c in docs.columns if c.lower() in made}
+    done = work(docs.withColumnsRenamed(aside)).drop(*made)
+    return done.withColumnsRenamed({v: k for k, v in aside.items()}).select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model does not call toxic; it learns from labels that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~toxicity.held_out(F.col("doc_id")))
-    return toxicity.train(docs, labels).score(docs).filter("predicted = 0").select(*_columns(docs))
+    model = toxicity.train(docs, labels)
+    return _beside(docs, ["score", "predicted"], lambda d: model.score(d).filter("predicted = 0"))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned rules do not reject. Short ones are learned from and judged like any other."""
     rules = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), base=False)
-    return quality.assess(docs, rules, base=False).filter("kept").select(*_columns(docs))
+    return _beside(docs, ["q_stats", "base_failed", "kept"], lambda d: quality.assess(d, rules, base=False).filter("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +42,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's rate draws it, in shuffled order; small sources are lifted."""
-    return mixing.replicate(docs, mixing.tempered_weights(docs)).select(*_columns(docs))
+    weights = mixing.tempered_weights(docs)
+    return _beside(docs, ["copy", "n_copies"], lambda d: mixing.replicate(d, weights))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
