@@ -101,23 +101,25 @@ def _braced(path: str, text: str) -> list[dict]:
     return _module(path, calls, imports) + out
 
 
-def parse(path: str, language: str, text: str) -> list[dict]:
-    """The symbols of one file; a declaration's qualified name has its nearest parent's plain name.
-
-    A file that cannot be parsed gives one row of the kind ``error``, whose name says why.
-    """
+def parse_or_error(path: str, language: str, text: str) -> list[dict]:
+    """As ``parse``, but a file that cannot be parsed gives one row of the kind ``error``, whose name says why."""
     try:
         return _python(path, text) if language == "python" else _braced(path, text)
     except (SyntaxError, ValueError, RecursionError) as e:
         return [_symbol(f"{type(e).__name__}: {e}", None, "error", 1, 1)]
 
 
+def parse(path: str, language: str, text: str) -> list[dict]:
+    """The symbols of one file; a declaration's qualified name has its nearest parent's plain name. None where it cannot be parsed."""
+    return [s for s in parse_or_error(path, language, text) if s["kind"] != "error"]
+
+
 def declarations(files: DataFrame, parsed: tuple[str, ...]) -> DataFrame:
-    """The symbols of files of the ``parsed`` languages: file_id, path, language and the symbol's fields; errors as ``parse`` gives them."""
+    """The symbols of files of the ``parsed`` languages: file_id, path, language and the symbol's fields; errors as ``parse_or_error`` gives them."""
 
     @F.pandas_udf(f"array<{_PARSED}>")
     def run(paths: pd.Series, languages: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([parse(p, g, t or "") for p, g, t in zip(paths, languages, texts)])
+        return pd.Series([parse_or_error(p, g, t or "") for p, g, t in zip(paths, languages, texts)])
 
     found = files.filter(F.col("language").isin(*parsed)).withColumn("s", F.explode(run("path", "language", "content")))
     return found.select("project_id", "file_id", "path", "language", F.concat_ws(":", F.col("file_id").cast("string"), F.col("s.start_line").cast("string"), "s.qualified_name").alias("symbol_id"), "s.*")
