@@ -102,7 +102,7 @@ def _prints(rows: DataFrame, width: int, count: int, unsure: int) -> DataFrame:
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             bits, loose = [b""] * len(sets), [b""] * len(sets)
             at = np.flatnonzero(sizes)
-            for part in np.array_split(at, int(sizes.sum()) // 1_000_000 + len(at) // 1000 + 1) if len(at) else []:
+            for part in np.array_split(at, int(sizes.sum()) // 250_000 + len(at) // 500 + 1) if len(at) else []:
                 if not len(part):
                     continue
                 n = sizes[part]
@@ -113,6 +113,7 @@ def _prints(rows: DataFrame, width: int, count: int, unsure: int) -> DataFrame:
                 for k, i in enumerate(part.tolist()):
                     bits[i], loose[i] = held[k].tobytes(), near[k].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(loose, pa.binary())], names=[x.split()[0] for x in _PRINT.split(", ")])
+        pa.default_memory_pool().release_unused()  # workers live on, and later stages need the memory
 
     return rows.mapInArrow(run, _PRINT)
 
@@ -134,6 +135,7 @@ def _meeting_rows(nodes: DataFrame, width: int, count: int, unsure: int) -> Data
                 keys, each = _mixed(values.ravel()).view(np.int64), count << unsure
                 four = raw[:, : CHECKED // 8].copy().view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(some.column(0).to_numpy(), each)), *[pa.array(np.repeat(four[:, k], each)) for k in range(4)]], names=[x.split()[0] for x in _MEET.split(", ")])
+        pa.default_memory_pool().release_unused()
 
     return nodes.select("node", "bits", "unsure").mapInArrow(run, _MEET)
 
@@ -145,7 +147,7 @@ def _close(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray, part: np.nda
     rows = np.flatnonzero(n)
     found = []
     upto = np.cumsum(n[rows])
-    for block in np.split(rows, np.searchsorted(upto, np.arange(2_000_000, int(upto[-1]) if len(upto) else 0, 2_000_000))):
+    for block in np.split(rows, np.searchsorted(upto, np.arange(400_000, int(upto[-1]) if len(upto) else 0, 400_000))):
         m = n[block]
         i = np.repeat(block, m)
         j = i + 1 + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
@@ -181,6 +183,8 @@ def _close_pairs(rows: DataFrame, distance: int) -> DataFrame:
                 held = [batch.slice(cut)]
         if held:
             yield pairs()
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     dealt = rows.select("key", "node", "f0", "f1", "f2", "f3", "part").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a long, b long")

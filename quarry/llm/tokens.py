@@ -18,7 +18,7 @@ import numpy as np
 
 #: Pre-tokens remembered by one worker, in each of two generations: when the young one is full it
 #: becomes the old one, whose words return to the young one when met again. This changes no result.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 120_000
 #: Letters outside ASCII that the quick cuts know. Any other character sends its text the slow way.
 _LETTERS = "À-ÖØ-öø-ÿ"
 _UNSURE = re.compile(rf"[^\x00-\x7f{_LETTERS}]")
@@ -150,7 +150,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def text_blocks(texts: list, budget: int = 2_000_000):
+def text_blocks(texts: list, budget: int = 1_000_000):
     """(start, end) runs of texts of about ``budget`` characters, so that a batch of long texts stays small."""
     start = size = 0
     for i, text in enumerate(texts):
