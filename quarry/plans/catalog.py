@@ -265,7 +265,7 @@ def block_chunks(spark, sf):
 _CUT = "CASE WHEN {s} + 29 <= len(ls) - 1 THEN coalesce(list_max(list_filter(range({s} + 21, {s} + 30), lambda i: regexp_matches(ls[i + 1], '^\\s*$'))), {s} + 29) ELSE len(ls) - 1 END"
 
 
-@query(f"""WITH RECURSIVE {FILES_SQL}, f AS (SELECT file_id, string_split(content, chr(10)) AS ls FROM files WHERE regexp_matches(content, '\S')),
+@query(f"""WITH RECURSIVE {FILES_SQL}, f AS (SELECT file_id, string_split(content, chr(10)) AS ls FROM files WHERE regexp_matches(content, '\\S')),
 b AS (SELECT file_id, ls, 0::BIGINT AS s, {_CUT.format(s="0")} AS e FROM f UNION ALL SELECT file_id, ls, e + 1, {_CUT.format(s="(e + 1)")} FROM b WHERE e < len(ls) - 1)
 SELECT file_id, (s + 1)::INTEGER AS start_line, (e + 1)::INTEGER AS end_line, sha256(array_to_string(ls[s + 1 : e + 1], chr(10))) AS content_hash FROM b""")
 def blank_aware_chunks(spark, sf):
