@@ -72,7 +72,7 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str, total: int,
     Hot keys, of which there are fewer than 64, are known to every task: their rows are dealt by the hash
     of ``by`` to several tasks, each of which gets the key's row of ``table`` too. ``n`` is left out.
     """
-    hot_key, parts, salt, own = (free_name(rows, c) for c in ("q_hot", "q_parts", "q_salt", "q_key"))
+    hot_key, parts, salt, own = (free_name(rows, c, table) for c in ("q_hot", "q_parts", "q_salt", "q_key"))
     cells = F.ceil(F.col(n) / F.lit(max(1, total)) / F.lit(HOT_SHARE) * 2).cast("int")
     sized = table.withColumn(parts, F.when(F.col(n) > total * HOT_SHARE, cells).otherwise(1))
     hot = F.broadcast(sized.filter(F.col(parts) > 1).select(F.col(key).alias(hot_key), parts))

@@ -13,9 +13,9 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, with underscores added while ``df`` has such a column (in any case)."""
-    taken = {c.lower() for c in df.columns}
+def free_name(df: DataFrame, name: str, *others: DataFrame) -> str:
+    """``name``, with underscores added while ``df`` or another table has such a column (in any case)."""
+    taken = {c.lower() for t in (df, *others) for c in t.columns}
     while name.lower() in taken:
         name += "_"
     return name

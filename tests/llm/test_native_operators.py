@@ -143,3 +143,11 @@ def test_large_rates_and_odd_rows(spark, make_docs, odd_docs, no_docs):
     assert got.filter(F.col("q_by") == 3).count() == got.count()
     assert mixing.replicate(no_docs, mixing.tempered_weights(no_docs)).count() == 0
     assert mixing.replicate(docs, even.filter("source = 'often'")).filter("source = 'rare'").count() == 0
+
+
+def test_many_sources_are_joined_by_spreading(monkeypatch, make_docs, odd_docs):
+    docs = make_docs([(i, "x" * (i % 50), "hot" if i % 3 else f"s{i}") for i in range(400)]).unionByName(odd_docs)
+    weights = mixing.tempered_weights(docs)
+    want = Counter(map(repr, mixing.replicate(docs, weights).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", -1)
+    assert Counter(map(repr, mixing.replicate(docs, weights).collect())) == want

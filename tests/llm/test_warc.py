@@ -140,3 +140,17 @@ def test_a_member_that_inflates_too_far_is_quarantined(monkeypatch):
     parts = [gzip.compress(record(0)), large, gzip.compress(record(2))]
     ids, gaps = seen(b"".join(parts))
     assert ids == [0, 2] and gaps == [(len(parts[0]), len(parts[0]) + len(large), "member too large")]
+
+
+def test_many_repeated_payloads_are_joined_by_spreading(spark, monkeypatch):
+    rows = [(i, f"http://x/{i}", ("hot" if i % 3 else f"p{i % 30}") * 60) for i in range(200)] + [(None, "u", None)]
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", -1)
+    folder = new_folder(spark, "warc")
+    manifest = warc.write_archives(pages(spark, rows), folder)
+    from pyspark.sql import functions as F
+
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.salvage(manifest.select(F.concat(F.lit(folder + "/"), "file").alias("path"))).collect()}
+    first = {}
+    for i, _, html in rows:
+        first.setdefault(html, i)
+    assert got == {i: ("response", None) if first[html] == i else ("revisit", first[html]) for i, _, html in rows}
