@@ -5,8 +5,11 @@ whole segments. So the fingerprint is long, and the small Hamming ball within a
 the bits whose votes were closest, as these are the ones that differ. Each text is stored under every
 value of its balls; two texts meet where their differing bits of a segment are within both balls. Width
 and number of segments follow from the number of rows, such that tables stay sparse and a pair at the
-threshold is missed with at most the stated chance, at every size. Pairs that meet are checked by their
-complete distance, then by the shingles themselves, so no pair below the similarity is linked.
+threshold is missed with at most the stated chance, at every size. Texts that meet are held together by
+their complete distance, as a forest: a key of m texts writes at most m - 1 links. What hangs together is
+then compared by the shingles themselves, in cells of bounded size; a text is only compared with groups that
+it is not yet in, so a template with any number of copies writes one link for each, never pairs, and no pair
+below the similarity is linked.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, staged
+from .shared import skew_join, small_batches, staged
 from .simhash import components, shingle_hashes
 from .words import free_name
 
@@ -32,10 +35,12 @@ MISSED = 0.01
 CHECKED = 256
 #: Rows of a key that one task compares; keys with more are dealt to cells of two blocks each.
 HOT_ROWS = 4096
-#: Texts whose keys are counted to find such keys. This only routes rows; a key it overlooks is compared whole.
-COUNTED = 50_000
+#: Hot keys that are broadcast; more are shuffled.
+FEW_KEYS = 100_000
 #: Shingles and texts of a block of the exact check.
 BLOCK_SHINGLES, BLOCK_TEXTS = 65_536, 512
+#: Rows of a key that are compared pair by pair, many keys at once; more by a search from text to text.
+FEW_ROWS = 64
 _LANES = np.uint64(0x0101010101010101)
 _PRINT = "row long, doc_id long, tie long, digest binary, n int, bits binary, unsure binary"
 _MEET = "key long, node long, f0 long, f1 long, f2 long, f3 long"
@@ -140,35 +145,75 @@ def _meeting_rows(nodes: DataFrame, width: int, count: int, unsure: int) -> Data
     return nodes.select("node", "bits", "unsure").mapInArrow(run, _MEET)
 
 
-def _close(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray, part: np.ndarray, distance: int):
-    """(a, b) of the rows, sorted by key, that share a key and differ in at most ``distance`` bits."""
-    ends = np.searchsorted(keys, keys, "right")
-    n = ends - np.arange(len(keys)) - 1  # later rows of the same key
-    rows = np.flatnonzero(n)
-    found = []
-    upto = np.cumsum(n[rows])
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of differing bits of each row of ``a`` from each row of ``b``."""
+    return sum(np.bitwise_count(a[:, None, k] ^ b[None, :, k]).astype(np.int32) for k in range(a.shape[1]))
+
+
+def _search(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest over rows at most ``distance`` bits apart: a search that meets each row once, from the first row on."""
+    left, found_a, found_b = np.arange(len(prints)), [], []
+    while len(left):
+        frontier, left = left[:1], left[1:]
+        while len(frontier) and len(left):
+            some, frontier = frontier[:64], frontier[64:]
+            near = _apart(prints[some], prints[left]) <= distance
+            hit = near.any(axis=0)
+            found_a.append(some[near[:, hit].argmax(axis=0)])
+            found_b.append(left[hit])
+            frontier, left = np.concatenate([frontier, left[hit]]), left[~hit]
+    none = [np.empty(0, np.int64)]
+    return np.concatenate(found_a or none), np.concatenate(found_b or none)
+
+
+def _forest(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray, distance: int) -> np.ndarray:
+    """(a, b) of rows, sorted by key, such that rows of a key at most ``distance`` bits apart hang together; fewer than rows."""
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(keys)]]))
+    found_a, found_b = [], []
+    for start, n in zip(starts[sizes > FEW_ROWS].tolist(), sizes[sizes > FEW_ROWS].tolist()):
+        a, b = _search(prints[start : start + n], distance)
+        found_a.append(a + start)
+        found_b.append(b + start)
+    later = np.repeat(starts + sizes, sizes) - np.arange(len(keys)) - 1  # later rows of the same key
+    rows = np.flatnonzero((later > 0) & (np.repeat(sizes, sizes) <= FEW_ROWS))
+    upto = np.cumsum(later[rows])
     for block in np.split(rows, np.searchsorted(upto, np.arange(400_000, int(upto[-1]) if len(upto) else 0, 400_000))):
-        m = n[block]
+        m = later[block]
         i = np.repeat(block, m)
         j = i + 1 + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-        if not len(i):
-            continue
-        bits = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int32)
-        ok = (bits <= distance) & (nodes[i] != nodes[j]) & ((part[i] < 0) | (part[i] != part[j]))
-        found.append(np.stack([np.minimum(nodes[i[ok]], nodes[j[ok]]), np.maximum(nodes[i[ok]], nodes[j[ok]])], axis=1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-
-
-def _close_pairs(rows: DataFrame, distance: int) -> DataFrame:
-    """Pairs (a, b) of the texts that meet; a task holds about one batch and its last key's rows."""
+        ok = (np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int32) <= distance) if len(i) else np.empty(0, bool)
+        i, j = i[ok], j[ok]
+        label = np.arange(len(keys)) if len(i) else None
+        while len(i):  # the smallest row of what hangs together, by steps from label to label
+            low = np.minimum(label[i], label[j])
+            before = label.copy()
+            np.minimum.at(label, i, low)
+            np.minimum.at(label, j, low)
+            label = label[label]
+            if np.array_equal(before, label):
+                break
+        if len(i):
+            member = np.unique(j)
+            found_a.append(label[member])
+            found_b.append(member)
+    if not found_a:
+        return np.empty((0, 2), np.int64)
+    a, b = nodes[np.concatenate(found_a)], nodes[np.concatenate(found_b)]
+    pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
+
+def _meeting_links(rows: DataFrame, distance: int) -> DataFrame:
+    """Links (a, b) of the texts that meet; a task holds about one batch and its last key's rows."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
-        def pairs():
+        def links():
             t = pa.Table.from_batches(held)
             prints = np.stack([t.column(f"f{k}").to_numpy() for k in range(4)], axis=1).view(np.uint64)
-            found = _close(t.column("key").to_numpy(), t.column("node").to_numpy(), prints, t.column("part").to_numpy(), distance)
+            found = _forest(t.column("key").to_numpy(), t.column("node").to_numpy(), prints, distance)
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
         for batch in batches:
@@ -179,70 +224,120 @@ def _close_pairs(rows: DataFrame, distance: int) -> DataFrame:
             cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
             if cut:
                 held[-1] = batch.slice(0, cut)
-                yield pairs()
+                yield links()
                 held = [batch.slice(cut)]
         if held:
-            yield pairs()
+            yield links()
         held.clear()
         pa.default_memory_pool().release_unused()
 
-    dealt = rows.select("key", "node", "f0", "f1", "f2", "f3", "part").repartition("key").sortWithinPartitions("key")
+    dealt = rows.select("key", "node", "f0", "f1", "f2", "f3").repartition("key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _dealt(meeting: DataFrame, nodes: DataFrame, n: int, shaped: tuple[int, int, int], hot_rows: int) -> DataFrame:
-    """The meeting rows and ``part``; rows of a hot key go to one cell for each other block of that key."""
-    rate = min(1.0, COUNTED / max(1, n))
-    few = nodes.filter(F.pmod(F.xxhash64(F.lit("count"), "node"), F.lit(1 << 20)) < int(rate * (1 << 20)))
-    counts = _meeting_rows(few, *shaped).groupBy("key").count().filter(F.col("count") > max(16, rate * hot_rows / 2))
-    hot = staged(counts.select("key", F.ceil(F.col("count") / (rate * hot_rows / 2)).cast("int").alias("blocks")), "hot-keys")
-    if hot.isEmpty():
-        return meeting.withColumn("part", F.lit(-1))
-    rows = meeting.join(F.broadcast(hot), "key", "left")  # at most one key for each 16 of the counted rows
+def _dealt(meeting: DataFrame, n: int, hot_rows: int) -> DataFrame:
+    """The meeting rows; those of a hot key go to one cell for each other block of that key.
+
+    All keys are counted: first by groups of keys (as many as rows), then one by one in groups with enough rows.
+    """
+    group = F.col("key").bitwiseAND(F.lit((1 << max(10, math.ceil(math.log2(max(n, 2))))) - 1))
+    crowded = staged(meeting.groupBy(group.alias("of")).count().filter(F.col("count") > hot_rows).select("of"), "crowded-keys")
+    n_crowded = crowded.count()
+    if not n_crowded:
+        return meeting
+    small = (lambda t: F.broadcast(t)) if n_crowded <= FEW_KEYS else (lambda t: t)
+    counts = meeting.select("key", group.alias("of")).join(small(crowded), "of", "left_semi").groupBy("key").count().filter(F.col("count") > hot_rows)
+    hot = staged(counts.select("key", F.ceil(F.col("count") / (hot_rows / 2)).cast("int").alias("blocks")), "hot-keys")
+    few = hot.count() <= FEW_KEYS
+    rows = meeting.join(F.broadcast(hot) if few else hot, "key", "left")
     own = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.xxhash64("key", F.least(own, j), F.greatest(own, j)).alias("key"), F.when(own == j, F.lit(-1)).otherwise(own).alias("part")))
-    calm = F.array(F.struct(F.col("key"), F.lit(-1).alias("part")))
-    return rows.withColumn("c", F.explode(F.when(F.col("blocks").isNull(), calm).otherwise(cells))).select("c.key", "node", "f0", "f1", "f2", "f3", "c.part")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
+    return rows.withColumn("c", F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(cells))).select(F.col("c").alias("key"), "node", "f0", "f1", "f2", "f3")
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles are that similar.
+_CELL = ("cell", "root", "node", "grp", "h", "bits")
+
+
+def _linked(cells: DataFrame, similarity: float, distance: int) -> DataFrame:
+    """Links (a, b) of the texts of each cell whose sets of shingles are that similar, fewer than texts. A text is
+    compared with texts of its ``root`` whose fingerprints are close and that are not in its group yet."""
+
+    def check(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in frame.sort_values("node").groupby("root", sort=False):
+            sets, nodes = own["h"].tolist(), own["node"].to_numpy()
+            sizes = np.array([len(x) for x in sets])
+            prints = np.frombuffer(b"".join(x[: CHECKED // 8] for x in own["bits"]), np.uint64).reshape(len(nodes), -1)
+            label = np.unique(own["grp"].to_numpy(), return_inverse=True)[1]
+            for i in range(1, len(nodes)):
+                other = np.flatnonzero(label[:i] != label[i])
+                if not len(other):
+                    continue
+                apart = _apart(prints[i : i + 1], prints[other])[0]
+                fits = (apart <= distance) & (np.minimum(sizes[other], sizes[i]) >= similarity * np.maximum(sizes[other], sizes[i]))
+                other = other[fits][np.argsort(apart[fits], kind="stable")]
+                while len(other):
+                    j = int(other[0])
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if both >= similarity * (sizes[i] + sizes[j] - both):
+                        out.append((nodes[j], nodes[i]))
+                        label[label == label[j]] = label[i]
+                    other = other[1:]
+                    other = other[label[other] != label[i]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return cells.select(*_CELL).groupBy("cell").applyInPandas(check, "a long, b long")
 
-    The sets meet in cells: texts that hang together by pairs are one cell if they are few, else
-    blocks of them meet two by two, so a set is sent once for each block and not for each pair.
+
+def _blocks(n, m):
+    return F.greatest(F.lit(1), F.ceil(n / BLOCK_SHINGLES), F.ceil(m / BLOCK_TEXTS)).cast("int")
+
+
+def _grouped(placed: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``placed`` with the group that each text is in by the links so far."""
+    joined = components(links).withColumnRenamed("root", "of_grp")
+    return staged(placed.drop("grp").join(joined, "node", "left").withColumn("grp", F.coalesce("of_grp", "node")).drop("of_grp"), name)
+
+
+def _similar(near: DataFrame, classes: DataFrame, texts: DataFrame, size: int, similarity: float, distance: int) -> DataFrame:
+    """Links between texts whose sets of shingles are that similar; a text has few, however many are like it.
+
+    What hangs together by ``near`` is one cell if it is small. Else it is cut into blocks: texts are compared
+    within their block, then one text of each group with those of other blocks, and what still is not one
+    group, block by block, but for the texts of its largest group among themselves.
     """
-    root = components(pairs)
-    known = root.join(classes.select("node", "n"), "node")
-    sums = known.groupBy("root").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK_TEXTS)).cast("int")
-    sums = sums.withColumn("blocks", blocks)
-    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
+    hung = skew_join(classes.select("node", "n", "bits"), components(near), "node")
+    sums = hung.groupBy("root").agg(F.sum("n").alias("sum_n"), F.count("*").alias("m")).withColumn("blocks", _blocks(F.col("sum_n"), F.col("m")))
+    sums = staged(sums, "hung-together")
+    total = sums.agg(F.coalesce(F.sum("sum_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
     shared = max(1, 2 * total["n"] // BLOCK_SHINGLES, 2 * total["m"] // BLOCK_TEXTS)
-    block = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int")
-    placed = staged(root.join(sums.select("root", "blocks"), "root").select("node", "root", "blocks", block.alias("block")), "placed")
-    sides = [placed.select(F.col("node").alias(x), "root", "blocks", F.col("block").alias(f"of_{x}")) for x in ("a", "b")]
-    both = pairs.join(sides[0], "a").join(sides[1].select("b", "of_b"), "b")
-    small = F.col("blocks") == 1
-    cell = F.when(small, F.struct(F.pmod(F.xxhash64("root"), F.lit(shared)).alias("c"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))).otherwise(F.struct(F.col("root").alias("c"), F.least("of_a", "of_b").alias("i"), F.greatest("of_a", "of_b").alias("j")))
-    celled = staged(both.select(F.xxhash64(cell["c"], cell["i"], cell["j"]).alias("cell"), "a", "b"), "celled")
-    wanted = celled.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
+    placed = staged(skew_join(hung, sums.select("root", "blocks"), "root", by="node").withColumn("grp", F.col("node")), "placed")
     sets = staged(texts.join(placed.select("node"), "node", "left_semi").select("node", F.array_sort(F.array_distinct(shingle_hashes(F.col("text"), size))).alias("h")), "sets")
-
-    def check(some: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        of = dict(zip(held["node"].tolist(), held["h"]))
-        keep = []
-        for a, b in zip(some["a"].tolist(), some["b"].tolist()):
-            x, y = of[a], of[b]
-            low, high = sorted((len(x), len(y)))
-            if low < similarity * high:
-                continue
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if both >= similarity * (low + high - both):
-                keep.append((a, b))
-        return pd.DataFrame(keep, columns=["a", "b"], dtype="int64")
-
-    held = wanted.join(sets, "node").select(F.col("cell").alias("of_cell"), "node", "h")
-    return celled.groupBy("cell").cogroup(held.groupBy("of_cell")).applyInPandas(check, "a long, b long")
+    block = lambda salt, count: F.pmod(F.xxhash64(F.lit(salt), "node"), count).cast("int")
+    cell = F.when(F.col("blocks") == 1, F.xxhash64(F.lit("small"), F.pmod(F.xxhash64("root"), F.lit(shared)))).otherwise(F.xxhash64(F.lit("block"), "root", block("first", F.col("blocks"))))
+    links = staged(_linked(placed.withColumn("cell", cell).join(sets, "node"), similarity, distance), "links")
+    many = placed.filter("blocks > 1")
+    if many.isEmpty():
+        return links
+    grouped = _grouped(many, links, "grouped")
+    one = grouped.groupBy("root", "grp").agg(F.min(F.struct("node", "n", "bits")).alias("t")).select("root", "grp", "t.node", "t.n", "t.bits")
+    counts = one.groupBy("root").agg(F.sum("n").alias("sum_n"), F.count("*").alias("m"))
+    chosen = skew_join(one, counts.select("root", _blocks(F.col("sum_n"), F.col("m")).alias("blocks")), "root", by="node")
+    second = staged(_linked(chosen.withColumn("cell", F.xxhash64(F.lit("one"), "root", block("second", F.col("blocks")))).join(sets, "node"), similarity, distance), "links")
+    links = links.unionByName(second)
+    grouped = _grouped(many, links, "grouped")
+    sizes = grouped.groupBy("root", "grp").agg(F.count("*").alias("m"), F.sum("n").alias("sum_n"))
+    main = staged(sizes.groupBy("root").agg(F.max(F.struct("m", "sum_n", "grp")).alias("main"), (F.sum("m") - F.max("m")).alias("rest_m"), F.sum("sum_n").alias("all_n"), F.count("*").alias("groups")).filter("groups > 1"), "several-groups")
+    if main.isEmpty():
+        return links
+    shape_of = main.select("root", F.col("main.grp").alias("main"), _blocks(F.col("main.sum_n"), F.col("main.m")).alias("of_main"), _blocks(F.col("all_n") - F.col("main.sum_n"), F.col("rest_m")).alias("of_rest"))
+    sided = skew_join(grouped, shape_of, "root", by="node")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    own = block("rest", F.col("of_rest"))
+    rest = F.concat(F.transform(upto(F.col("of_main")), lambda j: F.xxhash64(F.lit("main"), "root", own, j)), F.transform(upto(F.col("of_rest")), lambda j: F.xxhash64(F.lit("rest"), "root", F.least(own, j), F.greatest(own, j))))
+    largest = F.transform(upto(F.col("of_rest")), lambda i: F.xxhash64(F.lit("main"), "root", i, block("main", F.col("of_main"))))
+    crossed = sided.withColumn("cell", F.explode(F.when(F.col("grp") == F.col("main"), largest).otherwise(rest)))
+    return links.unionByName(staged(_linked(crossed.join(sets, "node"), similarity, distance), "links"))
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = WORDS, missed: float = MISSED, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -267,10 +362,9 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int
     nodes = classes.filter("n > 0").select("node", "bits", "unsure")
     rate = flip_rate(similarity)
     distance = int(CHECKED * rate + 3.5 * math.sqrt(CHECKED * rate * (1 - rate)))
-    meeting = _dealt(_meeting_rows(nodes, *shaped), nodes, n, shaped, hot_rows)
-    pairs = staged(_close_pairs(meeting, distance).distinct(), "close-pairs")
+    near = staged(_meeting_links(_dealt(_meeting_rows(nodes, *shaped), n, hot_rows), distance).distinct(), "near")
     texts = rows.select(F.col(name).alias("node"), "text")
-    root = components(_similar(pairs, classes, texts, size, similarity))
+    root = components(_similar(near, classes, texts, size, similarity, distance))
     kept = classes.join(root, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
     gone = staged(prints.select("row").join(kept, "row", "left_anti").withColumnRenamed("row", name), "dropped")
     return rows.join(gone, name, "left_anti").drop(name).select(*[f"`{c}`" for c in docs.columns])

@@ -81,6 +81,26 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str, total: int,
     return dealt.join(copied, dealt[key].eqNullSafe(copied[own]) & (dealt[salt] == copied[salt]), how).drop(copied[salt]).drop(salt, own)
 
 
+#: Tables of at most this many rows are joined as they are: one task can take them whole.
+FEW_ROWS = 200_000
+
+
+def skew_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", by: str | None = None) -> DataFrame:
+    """``rows`` and the one row of ``table`` for each key, with hot keys spread by ``by`` (the key itself where keys do not repeat).
+
+    The keys of ``rows`` are counted where both tables are written ones; small tables are joined as they are.
+    """
+    if by is None:
+        return rows.join(table, key, how)
+    total = rows.count()
+    if total <= FEW_ROWS:
+        return rows.join(table, key, how)
+    n = free_name(rows, "q_n", table)
+    counts = rows.groupBy(key).agg(F.count("*").alias(n)).filter(F.col(n) > total * HOT_SHARE)
+    sized = table.join(F.broadcast(counts), key, "left").withColumn(n, F.coalesce(n, F.lit(0)))  # fewer than 64 keys
+    return spread_join(rows, sized, key, n, total, F.col(by), how)
+
+
 def task_files(uri: str):
     """(filesystem, path) through pyarrow, for tasks that read or write files in the shared folder."""
     from pyarrow import fs

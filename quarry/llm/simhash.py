@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import spread_join, staged
+from .shared import skew_join, spread_join, staged
 from .words import ascii_lower, let, windows, words
 
 BITS = 64
@@ -215,17 +215,19 @@ def components(edges: DataFrame) -> DataFrame:
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         down = staged(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("to")), "steps")
-        twice = down.join(down.select(F.col("node").alias("to"), F.col("to").alias("then")), "to", "left")
+        twice = skew_join(down, down.select(F.col("node").alias("to"), F.col("to").alias("then")), "to", "left", by="node")
         step = staged(twice.select("node", F.coalesce("then", "to").alias("root")), "steps")
         rounds.append(step)
-        for end in ("a", "b"):
-            live = live.join(step.withColumnRenamed("node", end), end).drop(end).withColumnRenamed("root", end)
+        for end, other in (("a", "b"), ("b", "a")):  # a hub has an edge to each of its nodes
+            live = skew_join(live, step.withColumnRenamed("node", end), end, by=other).drop(end).withColumnRenamed("root", end)
+            live = live if end == "b" else staged(live, "half-edges")
         live = staged(live.filter("a != b").select("a", "b").distinct(), "edges")
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = rounds[0]
     for step in rounds[1:]:
-        out = out.join(step.select(F.col("node").alias("root"), F.col("root").alias("then")), "root", "left").select("node", F.coalesce("then", "root").alias("root"))
+        then = step.select(F.col("node").alias("root"), F.col("root").alias("then"))
+        out = staged(skew_join(out, then, "root", "left", by="node").select("node", F.coalesce("then", "root").alias("root")), "roots")
     return out
 
 
