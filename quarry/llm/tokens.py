@@ -18,7 +18,7 @@ import numpy as np
 
 #: Pre-tokens remembered by one worker, in each of two generations: when the young one is full it
 #: becomes the old one, whose words return to the young one when met again. This changes no result.
-MEMO_WORDS = 120_000
+MEMO_WORDS = 200_000
 #: Letters outside ASCII that the quick cuts know. Any other character sends its text the slow way.
 _LETTERS = "À-ÖØ-öø-ÿ"
 _UNSURE = re.compile(rf"[^\x00-\x7f{_LETTERS}]")
@@ -110,9 +110,8 @@ class Encoder:
         if len(self._memo) > MEMO_WORDS:
             self._old, self._memo = self._memo, {}
         slow: list[int] = []
-        waiting: list[tuple[int, list, list[tuple[int, str]]]] = []
+        cut: list[tuple[int, list[str]]] = []
         missing: set[str] = set()
-        known = self._memo.get
         for i, text in enumerate(texts):
             if not text:
                 continue
@@ -120,22 +119,18 @@ class Encoder:
                 slow.append(i)
                 continue
             words = self._cut(text)
-            ids = list(map(known, words))
-            if None in ids:
-                gaps = [(k, words[k]) for k, x in enumerate(ids) if x is None]
-                missing.update([w for _, w in gaps])
-                waiting.append((i, ids, gaps))
-            else:
-                out[i] = b"".join(ids)
+            cut.append((i, words))
+            missing.update(words)
         for i, ids in zip(slow, self._library([texts[i] for i in slow]), strict=True):
             out[i] = ids
-        for word in missing.intersection(self._old):
-            self._memo[word] = self._old[word]
-        self._learn(list(missing.difference(self._old)))
-        for i, ids, gaps in waiting:
-            for k, word in gaps:
-                ids[k] = self._memo[word]
-            out[i] = b"".join(ids)
+        missing.difference_update([w for w in missing if w in self._memo])
+        back = [w for w in missing if w in self._old]
+        self._memo.update(zip(back, map(self._old.__getitem__, back)))
+        missing.difference_update(back)
+        self._learn(list(missing))
+        known = self._memo.__getitem__
+        for i, words in cut:
+            out[i] = b"".join(map(known, words))
         return out
 
 
