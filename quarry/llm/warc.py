@@ -4,7 +4,8 @@ The writer gives each record a gzip member of its own, as crawlers do. The reade
 from valid piece to valid piece, be it a gzip member or a plain record at a version line. Where a
 check fails (a broken member, a malformed header, a wrong length, ending or digest) it searches for
 the next place at which everything holds, recovers the records from there on, and logs the bytes
-between as a quarantined gap with the reason.
+between as a quarantined gap with the reason. Members are inflated record by record, so those before
+a damage are recovered, and memory holds a record and no whole member. The search is linear.
 """
 
 from __future__ import annotations
@@ -31,11 +32,12 @@ ARCHIVE_BYTES = 32 << 20
 REVISIT_BYTES = 100
 #: A table of repeated payloads of at most this many rows (of about 100 bytes) is broadcast, a larger one is shuffled.
 BROADCAST_ROWS = 50_000
-#: A gzip member that inflates beyond this is quarantined, so that no archive can use up a task's memory.
-MEMBER_BYTES = 1 << 30
+#: Bytes of an archive that are inflated at once.
+PIECE_BYTES = 1 << 16
 _GZIP = b"\x1f\x8b\x08"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")  # damage may have taken the end of the line before
 _VERSION = re.compile(rb"WARC/\d\.\d\r\n")
+_VERSION_LINE = re.compile(rb"\nWARC/\d\.\d\r\n")
 _MANDATORY = {b"warc-type", b"warc-record-id", b"warc-date", b"content-length"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "file string, n_records long, n_bytes long"
@@ -128,21 +130,49 @@ def _differs(told: str, content: bytes) -> bool:
     return value.lower() != own.hex() and value.upper().rstrip("=") != base64.b32encode(own).decode().rstrip("=")
 
 
-def _plain(buf, start: int, stop: int) -> Record:
+class Short(Broken):
+    """What is there may be the beginning of a whole record."""
+
+
+class _Headers:
+    """Where headers end in a buffer. One end is looked up once, however many version lines stand before it."""
+
+    def __init__(self, buf, stop: int):
+        self.buf, self.stop, self.end, self.told, self.line = buf, stop, -1, -1, -1
+
+    def end_after(self, at: int) -> int:
+        """The first end of a header from ``at`` on, or the end of the buffer. ``told``: the last place from which all the
+        mandatory fields are still to come; ``line``: the last version line that begins a line before that end."""
+        if self.end < at:
+            found = self.buf.find(b"\r\n\r\n", at, self.stop)
+            self.end = self.stop if found < 0 else found
+            self.told = self.line = -1
+            if found >= 0:
+                wanted, upto = set(_MANDATORY), found
+                while wanted and upto > at:
+                    begin = max(self.buf.rfind(b"\n", at, upto) + 1, at)
+                    wanted.discard(bytes(self.buf[begin:upto]).partition(b":")[0].strip().lower())
+                    upto = begin - 1
+                    self.told = -1 if wanted else begin
+                for line in _VERSION_LINE.finditer(self.buf, at, found + 2):
+                    self.line = line.start() + 1
+        return self.end
+
+
+def _plain(buf, start: int, stop: int, ends_of: _Headers | None = None) -> Record:
     """The record whose version line is at ``start``, if all of it holds."""
     version = _VERSION.match(buf, start, stop)
     if not version:
         raise Broken("no version line")
-    ends = buf.find(b"\r\n\r\n", version.end() - 2, stop)
-    if ends < 0:
-        raise Broken("header without end")
-    headers: dict[str, str] = {}
+    known = ends_of or _Headers(buf, stop)
+    ends = known.end_after(version.end() - 2)
+    if ends == stop:
+        raise Short("header without end")
     inner = _VERSION.search(buf, version.end(), ends + 2)
-    while inner:  # a value may end like a version line, but only a header of its own has all the fields again
-        fields = {x.partition(b":")[0].strip().lower() for x in bytes(buf[inner.end() : ends]).split(b"\r\n")}
-        if bytes(buf[inner.start() - 1 : inner.start()]) == b"\n" or fields >= _MANDATORY:
-            raise Broken("header runs into another record")
-        inner = _VERSION.search(buf, inner.end(), ends + 2)
+    # A value may end like a version line, but only a header of its own begins a line or has all the fields after it.
+    if inner and (known.line > start or not start < known.told < inner.start()):
+        raise Broken("header runs into another record")
+    headers: dict[str, str] = {}
     for line in bytes(buf[version.end() : ends]).split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
@@ -153,7 +183,7 @@ def _plain(buf, start: int, stop: int) -> Record:
         raise Broken("no content length")
     at, end = ends + 4, ends + 4 + int(length)
     if end + 4 > stop:
-        raise Broken("truncated record")
+        raise Short("truncated record")
     if bytes(buf[end : end + 4]) != b"\r\n\r\n":
         raise Broken("wrong content length")
     payload = bytes(buf[at:end])
@@ -165,57 +195,132 @@ def _plain(buf, start: int, stop: int) -> Record:
     return Record(start, end + 4, headers, payload)
 
 
-def _member(buf, start: int, stop: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``start`` and where it ends. A member that does not begin as a record is given up at once."""
-    pull, out, at = zlib.decompressobj(31), bytearray(), start
-    while not pull.eof:
-        if at >= stop:
-            raise Broken("truncated member")
-        piece = bytes(buf[at : min(stop, at + (1 << 16))])
-        at += len(piece)
+class _Member:
+    """A gzip member at ``start``, inflated as far as its records ask for."""
+
+    def __init__(self, buf, start: int, stop: int):
+        self.buf, self.start, self.at, self.stop = buf, start, start, stop
+        self.pull, self.window, self.begun = zlib.decompressobj(31), bytearray(), False
+        #: Why the member is not whole, and why some of its content is no record.
+        self.damage: str | None = None
+        self.lost: str | None = None
+
+    def _more(self) -> None:
+        piece = bytes(self.buf[self.at : min(self.stop, self.at + PIECE_BYTES)])
+        if not piece:
+            self.damage = "truncated member"
+            return
+        before = self.pull.copy()
         try:
-            out += pull.decompress(piece, MEMBER_BYTES + 1 - len(out))
-        except zlib.error as e:
-            raise Broken("broken member") from e
-        if len(out) > MEMBER_BYTES:
-            raise Broken("member too large")
-        if len(out) >= 5 and not out.startswith(b"WARC/"):
-            raise Broken("member without version line")
-    return bytes(out), at - len(pull.unused_data)
+            self.window += self.pull.decompress(piece)
+        except zlib.error:  # what comes before the damage: in ever smaller steps
+            self.damage, self.pull, done = "broken member", before, 0
+            for step in (4096, 256, 16, 1):
+                while done < len(piece):
+                    before = self.pull.copy()
+                    try:
+                        self.window += self.pull.decompress(piece[done : done + step])
+                    except zlib.error:
+                        self.pull = before
+                        break
+                    done += step
+            self.at += done
+            return
+        self.at += len(piece)
+
+    def _fill(self, least: int) -> bool:
+        """Whether the window could be made longer, to ``least`` bytes if there are so many."""
+        before = len(self.window)
+        while len(self.window) < least and not self.pull.eof and self.damage is None:
+            self._more()
+        return len(self.window) > before
+
+    def records(self) -> Iterator[Record]:
+        """The whole records of the member, each with the bytes read so far as its range."""
+        at, ends_of = 0, None
+        while True:
+            if at >= len(self.window):
+                del self.window[:]
+                at, ends_of = 0, None
+                if not self._fill(PIECE_BYTES):
+                    return
+            if not self.begun and len(self.window) >= 5:
+                self.begun = True
+                if not self.window.startswith(b"WARC/"):
+                    self.damage = self.damage or "member without version line"
+                    return
+            ends_of = ends_of or _Headers(self.window, len(self.window))
+            try:
+                one = _plain(self.window, at, len(self.window), ends_of)
+            except Broken as e:
+                if self._rest_may_hold_more() and (isinstance(e, Short) or len(self.window) - at < 16):
+                    del self.window[:at]
+                    at, ends_of = 0, None
+                    if self._fill(2 * len(self.window) + PIECE_BYTES):
+                        continue
+                self.lost = self.lost or str(e)
+                later = _VERSION.search(self.window, at + 1)
+                if later:
+                    at = later.start()
+                elif self._rest_may_hold_more():
+                    del self.window[:-12]  # a version line may go on in the next piece
+                    at, ends_of = 0, None
+                    self._fill(len(self.window) + PIECE_BYTES)
+                else:
+                    return
+                continue
+            yield Record(self.start, self.at - len(self.pull.unused_data), one.headers, one.payload)
+            at = one.end
+
+    def _rest_may_hold_more(self) -> bool:
+        return not self.pull.eof and self.damage is None
+
+    @property
+    def end(self) -> int:
+        return self.at - len(self.pull.unused_data)
 
 
 def walk(buf) -> Iterator[Record | tuple[int, int, str]]:
     """The records of an archive and, as (start, end, reason), the gaps between them, in order of their bytes.
 
-    Records of a member have the byte range of the member. A member of which only some records hold
-    gives these, and a gap of the same range.
+    Records of a member have the member's start, and as end how far it was read. A member of which only some
+    records hold gives these, and a gap of its range; a damaged one gives the whole records before the damage,
+    and a gap from its start to the next valid piece.
     """
     stop, at, gap, reason = len(buf), 0, None, ""
+    ends_of = _Headers(buf, stop)
     while at < stop:
-        try:
-            if bytes(buf[at : at + 3]) == _GZIP:
-                content, end = _member(buf, at, stop)
-                found = list(walk(content)) if content else []
-                records = [x for x in found if isinstance(x, Record)]
-                if not records:
-                    raise Broken(found[0][2] if found else "empty member")
+        why, some = None, False
+        if bytes(buf[at : at + 3]) == _GZIP:
+            member = _Member(buf, at, stop)
+            for one in member.records():
+                if gap is not None:
+                    yield gap, at, reason
+                    gap = None
+                some = True
+                yield one
+            if member.damage or not some:
+                why = member.damage or member.lost or "empty member"
+            else:
+                if member.lost:
+                    yield at, member.end, member.lost
+                at = member.end
+        else:
+            try:
+                one = _plain(buf, at, stop, ends_of)
+            except Broken as e:
+                why = str(e)
             else:
-                one = _plain(buf, at, stop)
-                records, found, end = [one], [one], one.end
-        except Broken as e:
+                if gap is not None:
+                    yield gap, at, reason
+                    gap = None
+                yield one
+                at = one.end
+        if why:
             if gap is None:
-                gap, reason = at, str(e)
+                gap, reason = at, why
             later = _START.search(buf, at + 1)
             at = later.start() if later else stop
-            continue
-        if gap is not None:
-            yield gap, at, reason
-            gap = None
-        for r in records:
-            yield Record(at, end, r.headers, r.payload)
-        if lost := [x for x in found if not isinstance(x, Record)]:
-            yield at, end, lost[0][2]
-        at = end
     if gap is not None:
         yield gap, stop, reason
 
@@ -259,7 +364,7 @@ def salvage(archives: DataFrame, keep_payload: bool = True) -> DataFrame:
                 if rows:
                     yield _frame(rows)
 
-    return archives.select("path").repartition(n, "path").mapInPandas(read, RECORDS)
+    return archives.select("path").repartitionByRange(n, "path").mapInPandas(read, RECORDS)  # ranges of one archive each
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
