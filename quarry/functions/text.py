@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,6 +87,17 @@ def relative_time(at: Column, now: Column) -> Column:
     return F.when(s < 60, "just now").when(s < 3600, ago(60, "m")).when(s < 86_400, ago(3600, "h")).otherwise(ago(86_400, "d"))
 
 
+def bucket(term: Column, buckets: int) -> Column:
+    """The bucket that a term is stored in."""
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def bucket_number(term: str, buckets: int) -> int:
+    """The same for a term that is at hand: XXH64 of its bytes with Spark's seed, as a signed number."""
+    value = xxhash.xxh64_intdigest(term.encode(), seed=42)
+    return (value - (1 << 64) if value >> 63 else value) % buckets
+
+
 def last_segment(name: Column) -> Column:
     return F.element_at(F.split(name, r"\."), -1)
 

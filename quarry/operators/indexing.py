@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,20 +67,22 @@ def index_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return index_rows_and_failures(files)[:2]
 
 
-def index_rows_and_failures(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def index_rows_and_failures(files: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda t: t) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(symbols, chunks, failures) of files that are to be processed; every line of a file that is not blank lies in a chunk.
+    ``keep`` may write what was parsed and read it back, so that files are parsed once.
 
     Markdown is cut at headings, each a symbol too; parsed languages at declarations, and what lies
     between two of them into blocks; the rest, and files that cannot be parsed, into blocks. A chunk's
     symbol is the last declared one of that qualified name. Failures are (file_id, path, error).
     """
-    found = parsing.declarations(files, paths.PARSED)
+    found = keep(parsing.declarations(files, paths.PARSED))
     failed = found.filter("kind = 'error'").select("file_id", "path", F.substring("name", 1, 2000).alias("error"))
     symbols = parsing.with_file_relations(found.filter("kind <> 'error'"))
     sections = chunking.sections(files.filter("language = 'markdown'"))
-    lines = F.split("content", "\n")
     declared = symbols.filter("NOT (kind = 'module' AND start_line = 1 AND end_line = 1)").select("file_id", "qualified_name", F.col("kind").alias("s_kind"), "start_line", "end_line")
-    cut = files.join(declared, "file_id").select("file_id", F.col("qualified_name").alias("symbol"), F.col("s_kind").alias("kind"), "start_line", "end_line", F.array_join(F.slice(lines, F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("content"))
+    of_file = declared.groupBy("file_id").agg(F.collect_list(F.struct(F.col("qualified_name").alias("symbol"), F.col("s_kind").alias("kind"), "start_line", "end_line")).alias("ds"))
+    sliced = text.bound(F.split("content", "\n"), lambda lines: F.transform("ds", lambda d: F.struct(d["symbol"].alias("symbol"), d["kind"].alias("kind"), d["start_line"].alias("start_line"), d["end_line"].alias("end_line"), F.array_join(F.slice(lines, d["start_line"], d["end_line"] - d["start_line"] + 1), "\n").alias("content"))))
+    cut = files.join(of_file, "file_id").select("file_id", F.explode_outer(sliced).alias("d")).select("file_id", "d.symbol", "d.kind", "d.start_line", "d.end_line", "d.content")  # a text is split once
     spans = declared.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("start_line", (-F.col("end_line")).alias("minus_end")))).alias("spans"))
     plain = files.filter("language <> 'markdown'").join(spans, "file_id", "left")
     blocks = chunking.blocks_between(plain).withColumn("symbol", F.lit(None).cast("string")).withColumn("kind", F.lit("module"))

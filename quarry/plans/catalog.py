@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..functions import vectors as vec
-from ..operators import analytics, chunking, context, evaluation, fusion, indexing, lexical, semantic, structural
+from ..operators import analytics, chunking, context, evaluation, fusion, indexing, lexical, postings, semantic, structural
 from ..sources import tables
 from ..sources.tables import CHUNKS_SQL, FILES_SQL, SYMBOLS_SQL, sql_tokens, table
+from . import stored
 
 QUERY = "that the with"
 NAME = "the"
@@ -52,7 +53,16 @@ lexical AS (SELECT *, {_rank("tk", _TERMS)} AS score FROM chunk_tokens WHERE {_h
 
 
 def _lexical(spark: SparkSession, sf: str, **filters) -> DataFrame:
-    return lexical.search(lexical.filtered(tables.chunks(spark, sf), **filters), QUERY, K)
+    """The search over the stored posting blocks."""
+    store, snapshot = stored.of_tables(spark, sf)
+    chunks = store.read("chunks", snapshot)
+    allowed = lexical.filtered(chunks, **filters).select("segment", "chunk_no") if filters else None
+    return postings.search(store.read("postings", snapshot), lambda rows: store.live(rows, snapshot), chunks, QUERY, K, allowed=allowed)
+
+
+def _stored(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    store, snapshot = stored.of_tables(spark, sf)
+    return store.read(name, snapshot)
 
 
 @query(f"WITH {_LEXICAL} SELECT chunk_id, path, start_line, round(score, 9) AS score FROM lexical ORDER BY lexical.score DESC, path, start_line, chunk_id LIMIT {K}")
@@ -79,7 +89,7 @@ name_hits AS (
 @query(f"WITH {_NAMES} SELECT symbol_id, qualified_name, round(score, 9) AS score FROM name_hits ORDER BY name_hits.score DESC, qualified_name, symbol_id LIMIT {K}")
 def symbol_name_search(spark, sf):
     """Symbols by name: prefix, infix and terms."""
-    return lexical.name_search(tables.symbols(spark, sf), NAME, K).select("symbol_id", "qualified_name", F.round("score", 9).alias("score"))
+    return lexical.name_search(_stored(spark, sf, "symbols"), NAME, K).select("symbol_id", "qualified_name", F.round("score", 9).alias("score"))
 
 
 def _vector(spark: SparkSession, sf: str, vec_id: int = QUERY_VECTOR) -> list[float]:
@@ -119,8 +129,8 @@ def vector_count(spark, sf):
 
 
 def _merged(spark: SparkSession, sf: str) -> DataFrame:
-    v = semantic.nearest(tables.vectors(spark, sf), _vector(spark, sf), K)
-    return fusion.merge(*[h.select("path", "start_line", "score") for h in (v, _lexical(spark, sf), lexical.name_search(tables.symbols(spark, sf), NAME, K))])
+    v = semantic.nearest(_stored(spark, sf, "vectors"), _vector(spark, sf), K)
+    return fusion.merge(*[h.select("path", "start_line", "score") for h in (v, _lexical(spark, sf), lexical.name_search(_stored(spark, sf, "symbols"), NAME, K))])
 
 
 _FUSED = f"""{_NAMES}, {_LEXICAL.replace(FILES_SQL + ",", "", 1)},
@@ -177,7 +187,7 @@ s AS (SELECT symbol_id, qualified_name, sum(CASE WHEN e = '{TARGET}' OR string_s
 SELECT symbol_id, qualified_name, score FROM s WHERE score > 0 ORDER BY score DESC, qualified_name, symbol_id LIMIT 50""")
 def references_score(spark, sf):
     """Symbols that refer to a target, by the strength of their edges."""
-    return structural.references(tables.symbols(spark, sf), TARGET).select("symbol_id", "qualified_name", "score")
+    return structural.stored_references(_stored(spark, sf, "edges"), TARGET).select("symbol_id", "qualified_name", "score")
 
 
 @query(f"""WITH {SYMBOLS_SQL} SELECT symbol_id, qualified_name, array_to_string(calls, ' ') AS calls, array_to_string(imports, ' ') AS imports FROM symbols
