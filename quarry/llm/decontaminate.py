@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_words import Words, mixed, slices, words_of
-from .shared import small_batches, staged
+from .shared import release, small_batches, staged
 
 WINDOW, GRAM = 10, 5
 #: Distinct windows that are broadcast; more are shuffled.
@@ -74,7 +74,7 @@ def _window_rows(rows: DataFrame, lengths: list[int], bitmap: np.ndarray | None)
         for batch in batches:
             for part in slices(batch):
                 yield from found(part)
-        pa.default_memory_pool().release_unused()
+        release()
 
     def found(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         w = words_of(part.column("text"))

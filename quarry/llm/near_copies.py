@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import skew_join, small_batches, staged
+from .shared import release, skew_join, small_batches, staged
 from .simhash import components, shingle_hashes
 from .words import free_name
 
@@ -118,7 +118,7 @@ def _prints(rows: DataFrame, width: int, count: int, unsure: int) -> DataFrame:
                 for k, i in enumerate(part.tolist()):
                     bits[i], loose[i] = held[k].tobytes(), near[k].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(loose, pa.binary())], names=[x.split()[0] for x in _PRINT.split(", ")])
-        pa.default_memory_pool().release_unused()  # workers live on, and later stages need the memory
+        release()
 
     return rows.mapInArrow(run, _PRINT)
 
@@ -140,7 +140,7 @@ def _meeting_rows(nodes: DataFrame, width: int, count: int, unsure: int) -> Data
                 keys, each = _mixed(values.ravel()).view(np.int64), count << unsure
                 four = raw[:, : CHECKED // 8].copy().view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(some.column(0).to_numpy(), each)), *[pa.array(np.repeat(four[:, k], each)) for k in range(4)]], names=[x.split()[0] for x in _MEET.split(", ")])
-        pa.default_memory_pool().release_unused()
+        release()
 
     return nodes.select("node", "bits", "unsure").mapInArrow(run, _MEET)
 
@@ -229,7 +229,7 @@ def _meeting_links(rows: DataFrame, distance: int) -> DataFrame:
         if held:
             yield links()
         held.clear()
-        pa.default_memory_pool().release_unused()
+        release()
 
     dealt = rows.select("key", "node", "f0", "f1", "f2", "f3").repartition("key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(run, "a long, b long")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches, staged
+from .shared import release, small_batches, staged
 from .tokens import encoder, id_type, text_blocks
 
 #: Tokens by which rests are binned: a sequence wastes less than this for each piece it holds.
@@ -56,6 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, uni
                 made = pd.DataFrame(out, columns=[x.split()[0] for x in _PIECE.split(", ")])
                 made["doc_id"] = made["doc_id"].astype("Int64")
                 yield made
+            release()
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, _PIECE)
 

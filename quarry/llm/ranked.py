@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_words import slices, words_of
-from .shared import new_folder, small_batches, staged
+from .shared import new_folder, release, small_batches, staged
 from .words import ascii_lower
 
 BUCKETS, BUCKET_PARTS = 64, 4
@@ -40,7 +40,7 @@ def posting_rows(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, most=LINE_BYTES):
                 yield lines(part)
-        pa.default_memory_pool().release_unused()
+        release()
 
     def lines(part: pa.RecordBatch) -> pa.RecordBatch:
         w = words_of(part.column("text"))
@@ -95,7 +95,8 @@ def build(docs: DataFrame, buckets: int = BUCKETS) -> Postings:
     with small_batches(spark):
         lines = posting_rows(rows)
         dealt = lines.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(bucket_of(F.col("term"), buckets)))
-        part = F.pmod(F.xxhash64(F.get("docs", F.lit(0))), F.lit(BUCKET_PARTS))
+        parts = max(BUCKET_PARTS, rows.rdd.getNumPartitions() // 8)  # more for more documents, so that a part stays small
+        part = F.pmod(F.xxhash64(F.get("docs", F.lit(0))), F.lit(parts))
         dealt.withColumn("part", part).repartition("bucket", "part").sortWithinPartitions("bucket", "term").drop("part").write.partitionBy("bucket").parquet(path)
     table = spark.read.schema(f"term string, n int, docs array<long>, counts array<int>, ids array<{rows.schema['doc_id'].dataType.simpleString()}>, bucket int").parquet(path)
     each = table.filter("bucket = -1").select(F.explode(F.arrays_zip("docs", "counts", "ids")).alias("d"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -62,6 +63,17 @@ def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
         spark.conf.set(_BATCH, before)
 
 
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system. Workers live on, and later stages need it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it has
+        pass
+
+
 #: A key with more than this share of the rows is spread over several tasks when they are joined to a table.
 HOT_SHARE = 1 / 64
 

@@ -21,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, staged, text_batches
+from .shared import release, small_batches, staged, text_batches
 from .words import free_name, one_text
 
 #: Labelled rows that are used at most: those with the smallest hashes of their doc_id.
@@ -45,7 +45,7 @@ _MEMO = 100_000
 FEATURES = ["insults", "learned", "learned_weight", "learned_texts", "near_person", "person", "capitals", "capital_words", "exclaims", "asks", "marks", "obfuscated", "uncovered", "runs", "log_words", "word_length"]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _memo(units: tuple[tuple[str, float], ...]) -> tuple[dict[str, float], dict[str, float]]:
     """The lexicon, and the weights of words looked up so far by this worker. To be asked for once a batch: the units are hashed."""
     return dict(units), {}
@@ -99,7 +99,9 @@ def feature_column(units: tuple[tuple[str, float], ...]):
     @F.arrow_udf("array<double>")
     def run(texts: pa.Array) -> pa.Array:
         lexicon, seen = _memo(units)
-        return pa.array([dense_features(t.as_py(), lexicon, seen) for t in texts], pa.list_(pa.float64()))  # one text at a time in Python
+        made = pa.array([dense_features(t.as_py(), lexicon, seen) for t in texts], pa.list_(pa.float64()))  # one text at a time in Python
+        release()
+        return made
 
     return run
 
