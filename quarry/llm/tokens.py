@@ -18,7 +18,7 @@ import numpy as np
 
 #: Pre-tokens remembered by one worker, in each of two generations: when the young one is full it
 #: becomes the old one, whose words return to the young one when met again. This changes no result.
-MEMO_WORDS = 120_000
+MEMO_WORDS = 160_000
 #: Letters outside ASCII that the quick cuts know. Any other character sends its text the slow way.
 _LETTERS = "À-ÖØ-öø-ÿ"
 _UNSURE = re.compile(rf"[^\x00-\x7f{_LETTERS}]")
@@ -73,6 +73,10 @@ class Encoder:
         if suffix:
             self._ends = np.zeros(max(vocab.values()) + 1, bool)
             self._ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self._lengths = None
+        if self._cut == _SPACED_WORDS.findall:  # its tokens hold a character for each byte
+            self._lengths = np.zeros(max(vocab.values()) + 1, np.int64)
+            self._lengths[list(vocab.values())] = list(map(len, vocab))
         self._memo: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
@@ -95,8 +99,26 @@ class Encoder:
         raw, cuts = ids.tobytes(), (np.searchsorted(owner, np.arange(len(words)), "right") * ids.itemsize).tolist()
         return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
 
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """The ids of words of a space and letters, asked for as one text, which is cut at its spaces: words end where
+        that many bytes have been given tokens."""
+        ids = np.array(self._tok.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        upto = np.cumsum(self._lengths[ids])
+        ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in words])
+        cuts = np.searchsorted(upto, ends)
+        if not len(upto) or upto[-1] != ends[-1] or (upto[cuts] != ends).any():  # not cut as expected
+            return self._listed(words)
+        raw, cuts = ids.tobytes(), ((cuts + 1) * ids.itemsize).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+
     def _learn(self, words: list[str]) -> None:
         ask = self._listed if self._ends is None else self._joined
+        if self._lengths is not None:
+            spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
+            for i in range(0, len(spaced), 256):
+                block = spaced[i : i + 256]
+                self._memo.update(zip(block, self._spaced(block), strict=True))
+            words = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
         for i in range(0, len(words), 256):
             block = words[i : i + 256]
             self._memo.update(zip(block, ask(block), strict=True))
