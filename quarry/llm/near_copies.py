@@ -303,8 +303,9 @@ def _similar(near: DataFrame, classes: DataFrame, texts: DataFrame, size: int, s
     """Links between texts whose sets of shingles are that similar; a text has few, however many are like it.
 
     What hangs together by ``near`` is one cell if it is small. Else it is cut into blocks: texts are compared
-    within their block, then one text of each group with those of other blocks, and what still is not one
-    group, block by block, but for the texts of its largest group among themselves.
+    within their block, then one text of each group with those of other blocks, again in blocks as long as these
+    are several and groups are joined; and what still is not one group, block by block, but for the texts of its
+    largest group among themselves.
     """
     hung = skew_join(classes.select("node", "n", "bits"), components(near), "node")
     sums = hung.groupBy("root").agg(F.sum("n").alias("sum_n"), F.count("*").alias("m")).withColumn("blocks", _blocks(F.col("sum_n"), F.col("m")))
@@ -319,12 +320,16 @@ def _similar(near: DataFrame, classes: DataFrame, texts: DataFrame, size: int, s
     many = placed.filter("blocks > 1")
     if many.isEmpty():
         return links
-    grouped = _grouped(many, links, "grouped")
-    one = grouped.groupBy("root", "grp").agg(F.min(F.struct("node", "n", "bits")).alias("t")).select("root", "grp", "t.node", "t.n", "t.bits")
-    counts = one.groupBy("root").agg(F.sum("n").alias("sum_n"), F.count("*").alias("m"))
-    chosen = skew_join(one, counts.select("root", _blocks(F.col("sum_n"), F.col("m")).alias("blocks")), "root", by="node")
-    second = staged(_linked(chosen.withColumn("cell", F.xxhash64(F.lit("one"), "root", block("second", F.col("blocks")))).join(sets, "node"), similarity, distance), "links")
-    links = links.unionByName(second)
+    for turn in range(64):
+        grouped = _grouped(many, links, "grouped")
+        one = grouped.groupBy("root", "grp").agg(F.min(F.struct("node", "n", "bits")).alias("t")).select("root", "grp", "t.node", "t.n", "t.bits")
+        counts = one.groupBy("root").agg(F.sum("n").alias("sum_n"), F.count("*").alias("m"))
+        counts = staged(counts.select("root", _blocks(F.col("sum_n"), F.col("m")).alias("blocks")), "groups")
+        chosen = skew_join(one, counts, "root", by="node")
+        found = staged(_linked(chosen.withColumn("cell", F.xxhash64(F.lit(f"one {turn}"), "root", block(f"one {turn}", F.col("blocks")))).join(sets, "node"), similarity, distance), "links")
+        links = links.unionByName(found)
+        if counts.filter("blocks > 1").isEmpty() or found.isEmpty():  # each turn leaves about one group a block of the turn before
+            break
     grouped = _grouped(many, links, "grouped")
     sizes = grouped.groupBy("root", "grp").agg(F.count("*").alias("m"), F.sum("n").alias("sum_n"))
     main = staged(sizes.groupBy("root").agg(F.max(F.struct("m", "sum_n", "grp")).alias("main"), (F.sum("m") - F.max("m")).alias("rest_m"), F.sum("sum_n").alias("all_n"), F.count("*").alias("groups")).filter("groups > 1"), "several-groups")

@@ -90,6 +90,52 @@ def test_planted_copies(make_docs, hot_rows):
     assert len(got) - len(want) <= 0.02 * (len(rows) - len(want))  # a copy is missed with a small chance
 
 
+def pairs_of(rng, low, high, words, count):
+    """Pairs of texts whose similarity lies in a band, by replacing single words."""
+    out = []
+    while len(out) < count:
+        a = [f"w{rng.randrange(10**7)}" for _ in range(words)]
+        b, order = list(a), rng.sample(range(words), words)
+        while order and len(shingles(" ".join(a)) & shingles(" ".join(b))) >= low * len(shingles(" ".join(a)) | shingles(" ".join(b))):
+            x, y = shingles(" ".join(a)), shingles(" ".join(b))
+            if b != a and len(x & y) < high * len(x | y):
+                out.append((" ".join(a), " ".join(b)))
+                break
+            b[order[-1]] = f"x{rng.randrange(10**7)}" if rng.random() < 0.7 else b[order[-1] - 1]
+            order.pop()
+    return out
+
+
+@pytest.mark.parametrize(("low", "high"), [(0.8, 0.85), (0.85, 0.9), (0.9, 1.0)])
+@pytest.mark.parametrize("words", [40, 100, 300])
+def test_recall_by_similarity_and_length(make_docs, low, high, words):
+    pairs = pairs_of(random.Random(words), low, high, words, 120)
+    rows = [(2 * i + k, t, "a") for i, pair in enumerate(pairs) for k, t in enumerate(pair)]
+    kept = near_copies.drop_near_copies(make_docs(rows)).count()
+    assert (len(rows) - kept) / len(pairs) >= 0.95
+
+
+@pytest.mark.parametrize("limits", [(near_copies.BLOCK_TEXTS, near_copies.HOT_ROWS), (32, 100)])
+def test_copies_of_a_template_write_a_link_each(make_docs, monkeypatch, limits):
+    """Many near copies of one text, one that is like it and not near, and a second template: a link for each text, at most."""
+    monkeypatch.setattr(near_copies, "BLOCK_TEXTS", limits[0])
+    rng, written = random.Random(9), []
+    real = near_copies._similar
+    monkeypatch.setattr(near_copies, "_similar", lambda *a: written.append(real(*a)) or written[-1])
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(1500):
+        own = list(base)
+        own[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(own), "a"))
+    rows += [(2000 + i, " ".join([*base[:92], *(f"y{i}_{k}" for k in range(28))]), "a") for i in range(4)]
+    other = [*base[:88], *(f"z{k}" for k in range(32))]
+    rows += [(3000 + i, " ".join([*other[:119], f"o{i}"]), "a") for i in range(300)]
+    kept = ids(near_copies.drop_near_copies(make_docs(rows), hot_rows=limits[1]).collect())
+    assert kept == [(False, 0), *((False, 2000 + i) for i in range(4)), (False, 3000)]
+    assert 1798 <= written[0].count() <= len(rows) * (1 if limits[0] > 32 else 2)
+
+
 def test_no_pair_below_the_similarity_is_linked(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir[:-5]}0.01/documents.parquet")
     got, (want, pairs) = ids(near_copies.drop_near_copies(docs).collect()), one_of_each(docs.collect())
