@@ -1,12 +1,13 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarry.operators import analytics, chunking, evaluation, fusion, indexing, lexical, parsing, structural
+from quarry.operators import analytics, chunking, evaluation, fusion, indexing, jobs, lexical, parsing, structural
 from quarry.plans.project import Project
 from quarry.plans.search import BadRequest, Index, NotFound, clamped, search
 from quarry.schemas import SYMBOL
@@ -290,3 +291,23 @@ def test_hidden_edges_of_files_put_together(spark):
     rows = [(1, 1, "a\nb\nc"), (1, 2, "b\nc\nd"), (1, 3, "c"), (1, 5, "e\nf"), (2, 1, "x")]
     got = {r.file_id: r.content for r in chunking.reconstructed(spark.createDataFrame(rows, "file_id long, start_line int, content string")).collect()}
     assert got == {1: "a\nb\nc\nd\ne\nf", 2: "x"}
+
+
+def test_an_owner_of_many_projects_brings_few_candidates(spark):
+    """Each push meets the projects whose name begins as its own; a name may be the beginning of a longer one."""
+    projects = [(i, f"https://github.com/big/app{i}" + (".git" if i % 2 else "")) for i in range(120)] + [(500, "git@github.com:big/other"), (501, "https://github.com/big/"), (502, "plain"), (503, None)]
+    pushes = [(i, f"big/app{i}", None, None) for i in range(0, 240, 2)] + [(900, "big/oth", None, None), (901, "", "https://github.com/big/", None), (902, None, None, None), (903, "plain", "plain", None)]
+    p = spark.createDataFrame(projects, "project_id int, repo_url string")
+    asked = spark.createDataFrame(pushes, "push_id int, full_name string, html_url string, clone_url string")
+    got = {r.push_id: r.project_id for r in jobs.push_projects(asked, p).collect()}
+
+    def plain(full, html, clone):
+        urls = [html, clone, *(["https://github.com/" + full, f"git@github.com:{full}.git"] if full is not None else [])]
+        for test in (lambda url, repo: repo == url, lambda url, repo: re.sub("^https?://", "", re.sub(r"\.git$", "", url)) in repo):
+            for url in urls:
+                if hits := [i for i, repo in projects if url and repo and test(url, repo)]:
+                    return min(hits)
+
+    assert got == {i: plain(*rest) for i, *rest in pushes}
+    tried = asked.select(F.concat(F.lit("https://github.com/"), "full_name").alias("url")).filter("url LIKE '%/app%'")
+    assert jobs.part_candidates(tried, p).count() < 3 * 120  # of 120 * 120
