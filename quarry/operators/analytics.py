@@ -6,16 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Equal ranges that a metric's values are counted in before the one that holds the percentile is sorted.
-RANGES = 4096
+#: Equal ranges that a metric's values are counted in at once, and the number of values that are put in order in the end.
+RANGES, FEW = 4096, 10_000
 
 
 def metric_summaries(events: DataFrame, names: list[str] | None = None, since=None) -> DataFrame:
-    """Per metric: count, sum, avg, min, max and p95 of the events since then.
-
-    The 95th percentile is exact. Values are counted in equal ranges between their extremes, and only
-    the distinct values of the range that holds the wanted place are put in order.
-    """
+    """Per metric: count, sum, avg, min, max and p95 of the events since then; the 95th percentile is exact."""
     rows = events.filter("value IS NOT NULL")
     if names is not None:
         rows = rows.filter(F.col("name").isin(names))
@@ -23,16 +19,34 @@ def metric_summaries(events: DataFrame, names: list[str] | None = None, since=No
         rows = rows.filter(F.col("recorded_at") >= since)
     totals = rows.groupBy("name").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
     place = F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(0.95)).cast("long"))
-    ends = F.broadcast(totals.select("name", "low", "high", place.alias("place")))  # one row a metric
-    part = F.least(F.lit(RANGES - 1), F.floor(F.try_divide((F.col("value") - F.col("low")) * RANGES, F.col("high") - F.col("low"))).cast("int"))
-    ranged = rows.select("name", "value").join(ends, "name").withColumn("part", F.coalesce(part, F.lit(0)))
-    sums = ranged.groupBy("name", "place", "part").agg(F.count("*").alias("times"))
-    before = F.sum("times").over(Window.partitionBy("name").orderBy("part")) - F.col("times")  # at most RANGES rows a metric
-    wanted = sums.withColumn("before", before).filter((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("times"))).select("name", "part", "before")
-    counts = ranged.join(F.broadcast(wanted), ["name", "part"]).groupBy("name", "value", "place", "before").agg(F.count("*").alias("times"))
+    return totals.join(_at_place(rows, totals.select("name", place.alias("place"), "low", "high", "n")), "name")
+
+
+def _at_place(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(name, p95): each metric's value at its place (from 0) in order.
+
+    Values are counted in equal ranges between two ends; the range that holds the place gives the ends of the next count, which
+    are its own smallest and largest value, until few values are between them. So one far value costs one more
+    count, and no task orders more than ``FEW`` values, or as many as are equal. One row a metric comes to the driver.
+    """
+    spark, bounds = rows.sparkSession, [tuple(r) + (0,) for r in wanted.collect()]
+    schema = "name string, place long, low double, high double, times long, before long"
+    value, half = F.col("value").cast("double"), lambda c: F.col(c) / 2  # halves, so that no difference overflows
+    while True:
+        ends = F.broadcast(spark.createDataFrame(bounds, schema).withColumnRenamed("times", "held"))
+        inside = rows.select("name", value.alias("value")).join(ends, "name").filter("value >= low AND value <= high")
+        wide = [b for b in bounds if b[4] > FEW and b[2] < b[3]]
+        if not wide:
+            break
+        part = F.least(F.lit(RANGES - 1.0), F.floor(F.nanvl(F.try_divide(half("value") - half("low"), half("high") - half("low")), F.lit(1.0)) * RANGES))
+        sums = inside.filter(F.col("name").isin([b[0] for b in wide])).groupBy("name", "place", "before", part.cast("int").alias("part")).agg(F.count("*").alias("times"), F.min("value").alias("low"), F.max("value").alias("high"))
+        upto = F.col("before") + F.sum("times").over(Window.partitionBy("name").orderBy("part"))  # at most RANGES rows a metric
+        held = sums.withColumn("upto", upto).filter("upto > place AND upto - times <= place").select("name", "place", "low", "high", "times", (F.col("upto") - F.col("times")).alias("before"))
+        closer = {r["name"]: tuple(r) for r in held.collect()}
+        bounds = [closer.get(b[0], b) for b in bounds]
+    counts = inside.groupBy("name", "value", "place", "before").agg(F.count("*").alias("times"))
     upto = F.col("before") + F.sum("times").over(Window.partitionBy("name").orderBy("value"))
-    at = counts.withColumn("upto", upto).filter(F.col("upto") > F.col("place")).groupBy("name").agg(F.min("value").alias("p95"))
-    return totals.join(at, "name")
+    return counts.withColumn("upto", upto).filter(F.col("upto") > F.col("place")).groupBy("name").agg(F.min("value").alias("p95"))
 
 
 def metric_windows(events: DataFrame, width: str = "1 hour") -> DataFrame:

@@ -311,3 +311,20 @@ def test_an_owner_of_many_projects_brings_few_candidates(spark):
     assert got == {i: plain(*rest) for i, *rest in pushes}
     tried = asked.select(F.concat(F.lit("https://github.com/"), "full_name").alias("url")).filter("url LIKE '%/app%'")
     assert jobs.part_candidates(tried, p).count() < 3 * 120  # of 120 * 120
+
+
+def test_percentiles_of_skewed_values(spark, monkeypatch):
+    """Far values, equal values, both signs and extremes; few values are ordered, however they lie."""
+    monkeypatch.setattr(analytics, "FEW", 40)
+    rng = random.Random(3)
+    rows = [("far", rng.random()) for _ in range(3000)] + [("far", 1e12), ("far", -1e12)]
+    rows += [("wide", rng.choice([-1, 1]) * 10.0 ** rng.randrange(-300, 308)) for _ in range(1000)]
+    rows += [("equal", float(rng.randrange(3))) for _ in range(1000)] + [("one", 5.0)] + [("none", None)]
+    rows += [("endless", x) for x in [float("inf")] * 5 + [rng.random() for _ in range(995)]]
+    events = spark.createDataFrame(rows, "name string, value double").repartition(3)
+    got = {r["name"]: r.p95 for r in analytics.metric_summaries(events).collect()}
+    want = {}
+    for name in {"far", "wide", "equal", "one", "endless"}:
+        values = sorted(v for n, v in rows if n == name)
+        want[name] = values[min(len(values) - 1, int(len(values) * 0.95))]
+    assert got == want
