@@ -57,7 +57,7 @@ def _lexical(spark: SparkSession, sf: str, **filters) -> DataFrame:
     store, snapshot = stored.of_tables(spark, sf)
     chunks = store.read("chunks", snapshot)
     allowed = lexical.filtered(chunks, **filters).select("segment", "chunk_no") if filters else None
-    return postings.search(store.read("postings", snapshot), lambda rows: store.live(rows, snapshot), chunks, QUERY, K, allowed=allowed)
+    return postings.search(store.read("postings", snapshot), lambda rows: store.live(rows, snapshot), chunks, QUERY, K, allowed=allowed, n_chunks=store.chunks_of(snapshot))
 
 
 def _stored(spark: SparkSession, sf: str, name: str) -> DataFrame:
