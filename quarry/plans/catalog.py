@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..functions import vectors as vec
-from ..operators import analytics, chunking, context, evaluation, fusion, indexing, lexical, postings, semantic, structural
+from ..operators import analytics, chunking, context, evaluation, fusion, indexing, inverted_file, lexical, postings, semantic, structural
 from ..sources import tables
 from ..sources.tables import CHUNKS_SQL, FILES_SQL, SYMBOLS_SQL, sql_tokens, table
 from . import stored
@@ -16,6 +16,7 @@ QUERY = "that the with"
 NAME = "the"
 TARGET = "tion.the"
 QUERY_VECTOR, K = 7, 20
+DIMS = 64
 CUTOFF = "2024-01-15"
 
 QUERIES: dict = {}
@@ -122,6 +123,23 @@ def vector_topk_batch(spark, sf):
     return semantic.nearest_batch(e, asked, K).select("query_id", "rank", "vec_id", F.round("score", 9).alias("score"))
 
 
+@query(f"SELECT vec_id, label, round(s, 9) AS score FROM ({_NEAREST}) WHERE label IN (1, 2, 3, 4) AND label NOT IN (2, 4) ORDER BY s DESC, vec_id LIMIT {K}")
+def vector_topk_without(spark, sf):
+    """Nearest neighbours among vectors that have some labels and have not others."""
+    held = semantic.matching(table(spark, sf, "embeddings"), must={"label": [1, 2, 3, 4]}, must_not={"label": [2, 4]})
+    return semantic.nearest(held, _vector(spark, sf), K).select("vec_id", "label", F.round("score", 9).alias("score"))
+
+
+@query()
+def vector_topk_probed(spark, sf):
+    """About the ten nearest vectors of every twentieth vector, over an inverted file of all, by as many probes as a sample of queries needs."""
+    e = table(spark, sf, "embeddings")
+    model = inverted_file.fit(e, DIMS)
+    rows = inverted_file.index(e, model)
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return inverted_file.search(rows, model, asked, 10, inverted_file.probes_for(rows, model, 10))
+
+
 @query("SELECT label, count(*)::BIGINT AS n FROM embeddings GROUP BY label")
 def vector_count(spark, sf):
     """Exact count of vectors by facet."""
