@@ -223,16 +223,19 @@ def scored_rows(rows: DataFrame, model: Model, queries: DataFrame, probes: int,
 
 
 def probes_for(rows: DataFrame, model: Model, k: int, target: float = 0.97, queries: int = 64, key: str = "vec_id", vector: str = "embedding") -> int:
-    """The fewest probes, doubled from one, that find ``target`` of the k exact neighbours of a bounded sample of rows as queries; all lists if none do."""
+    """Few probes that find ``target`` of the k exact neighbours of a bounded sample of rows as queries: doubled from one, at last less a quarter where that is enough; all lists if none do."""
     taken = rows.select(F.col(key).alias("query_id"), vector).orderBy(F.xxhash64(F.col("query_id"), F.lit("asked")), "query_id").limit(queries).collect()
     if not taken:
         return 1
     asked = rows.sparkSession.createDataFrame(taken, rows.select(F.col(key).alias("query_id"), vector).schema)
     exact = {(r["query_id"], r[key]) for r in nearest_batch(rows, {r["query_id"]: r[vector] for r in taken}, k, vector, key).collect()}
-    n = 1
-    while n < model.lists:
+
+    def enough(n: int) -> bool:
         found = {(r["query_id"], r[key]) for r in search(rows, model, asked, k, n, key=key, vector=vector).select("query_id", key).collect()}
-        if len(found & exact) >= target * len(exact):
-            return n
+        return len(found & exact) >= target * len(exact)
+
+    n = 1
+    while n < model.lists and not enough(n):
         n *= 2
-    return model.lists
+    less = min(n, model.lists) * 3 // 4
+    return less if less > n // 2 and enough(less) else min(n, model.lists)

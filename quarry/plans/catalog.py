@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..functions import vectors as vec
-from ..operators import analytics, chunking, context, evaluation, fusion, indexing, inverted_file, lexical, postings, semantic, structural
+from ..operators import analytics, chunking, context, evaluation, fusion, indexing, inverted_file, jobs, lexical, postings, semantic, structural
 from ..sources import tables
 from ..sources.tables import CHUNKS_SQL, FILES_SQL, SYMBOLS_SQL, sql_tokens, table
 from . import stored
@@ -492,7 +492,8 @@ def config_override(spark, sf):
 def apikey_scope(spark, sf):
     """How many rows each key's scope lets through; rows are counted by scope before keys meet them."""
     s, c = table(spark, sf, "supplier"), table(spark, sf, "customer")
-    return analytics.with_child_count(s.select("s_suppkey", F.col("s_nationkey").alias("n")), c.select(F.col("c_nationkey").alias("n")), "n", "visible").select("s_suppkey", "visible")
+    owners = s.select(F.col("s_suppkey").alias("token_id"), F.col("s_nationkey").alias("project_id"))
+    return jobs.visible(c.select(F.col("c_nationkey").alias("project_id")), owners).select(F.col("token_id").alias("s_suppkey"), "visible")
 
 
 @query("""SELECT conv_id, count(*)::BIGINT AS turns, string_agg(role, ' ' ORDER BY turn, role) AS roles FROM conversations GROUP BY conv_id""")

@@ -328,3 +328,17 @@ def test_percentiles_of_skewed_values(spark, monkeypatch):
         values = sorted(v for n, v in rows if n == name)
         want[name] = values[min(len(values) - 1, int(len(values) * 0.95))]
     assert got == want
+
+
+def test_tokens_see_their_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(n, n % 3 if n % 4 else None) for n in range(24)], "row_id long, project_id long")
+    owners = spark.createDataFrame([(1, 0), (2, 2), (3, None), (4, 9), (5, None), (6, None)], "token_id long, project_id long")
+    want = {(t, n) for t, p in [(1, 0), (2, 2), (3, None), (4, 9), (5, None), (6, None)] for n in range(24) if p is None or (n % 4 and n % 3 == p)}
+    counted = {t: sum(1 for a, _ in want if a == t) for t in range(1, 7)}
+    for free in (1000, 1):
+        monkeypatch.setattr(jobs, "FREE", free)
+        found = [(r["token_id"], r["row_id"]) for r in jobs.scoped(rows, owners).collect()]
+        assert len(found) == len(want) and set(found) == want
+    assert dict(map(tuple, jobs.visible(rows, owners).collect())) == counted
+    assert jobs.scoped(rows, owners.filter("project_id = 9")).count() == 0
+    assert dict(map(tuple, jobs.visible(rows.limit(0), owners).collect())) == dict.fromkeys(range(1, 7), 0)
