@@ -342,3 +342,18 @@ def test_tokens_see_their_rows(spark, monkeypatch):
     assert dict(map(tuple, jobs.visible(rows, owners).collect())) == counted
     assert jobs.scoped(rows, owners.filter("project_id = 9")).count() == 0
     assert dict(map(tuple, jobs.visible(rows.limit(0), owners).collect())) == dict.fromkeys(range(1, 7), 0)
+
+
+def test_a_text_too_deep_for_the_parser_is_a_failed_file(monkeypatch):
+    deep = "(" * 150 + "-" * 20_000 + "1"
+    assert [s["kind"] for s in parsing.parse_or_error("a.py", "python", "x = " + "-" * 100_000 + "1")] == ["error"]
+    assert [s["kind"] for s in parsing.parse_or_error("a.py", "python", deep)] == ["error"]
+    (found,) = parsing.parse_or_error("a.py", "python", "a " * 10 + "lambda x: " * 20_000)
+    assert found["kind"] == "error"
+
+    def full(*_):
+        raise MemoryError
+
+    monkeypatch.setattr(parsing, "_python", full)
+    with pytest.raises(MemoryError):  # a worker that has run out of memory is no fault of the file
+        parsing.parse_or_error("a.py", "python", "x = 1")
