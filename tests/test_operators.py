@@ -357,3 +357,11 @@ def test_a_text_too_deep_for_the_parser_is_a_failed_file(monkeypatch):
     monkeypatch.setattr(parsing, "_python", full)
     with pytest.raises(MemoryError):  # a worker that has run out of memory is no fault of the file
         parsing.parse_or_error("a.py", "python", "x = 1")
+
+
+def test_every_line_of_a_text_too_deep_for_the_parser_lies_in_a_chunk(spark):
+    content = "\n".join(["x = 1"] * 200 + ["x = " + "-" * 100_000 + "1"] + ["y = 2"] * 200)
+    files = spark.createDataFrame([("p", 1, "a.py", "python", "code", content)], "project_id string, file_id long, path string, language string, category string, content string")
+    _, chunks, failed = indexing.index_rows_and_failures(files)
+    assert [r.file_id for r in failed.collect()] == [1]
+    assert {n for r in chunks.collect() for n in range(r.start_line, r.end_line + 1)} == set(range(1, 402))
