@@ -365,3 +365,11 @@ def test_every_line_of_a_text_too_deep_for_the_parser_lies_in_a_chunk(spark):
     _, chunks, failed = indexing.index_rows_and_failures(files)
     assert [r.file_id for r in failed.collect()] == [1]
     assert {n for r in chunks.collect() for n in range(r.start_line, r.end_line + 1)} == set(range(1, 402))
+
+
+def test_rows_of_one_project_are_dealt_to_as_many_tasks_as_their_pairs_need(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "PAIRS", 1000, raising=False)
+    rows = spark.range(1000).select(F.col("id").alias("row_id"), F.lit(7).cast("long").alias("project_id"))
+    owners = spark.createDataFrame([(t, 7 if t < 20 else None) for t in range(25)], "token_id long, project_id long")
+    made = [r["count"] for r in jobs.scoped(rows, owners).groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(made) == 25_000 and len(made) >= 25 and max(made) <= 1_000
