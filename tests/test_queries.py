@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 from quarry.plans import operations as catalog
+from quarry.sources import tables
+from quarry.sources.tables import FILES_SQL
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +38,15 @@ def test_query(spark, duck, sf_dir, name):
         assert sorted((tuple(plain(v) for v in r) for r in rows), key=repr) == want
     else:
         assert rows
+
+
+def test_coverage_of_deep_texts_and_negative_ids(spark, tmp_path):
+    deep = "\n".join(["def f():", "    return 1", "", "x = " + "-" * 9_000 + "1", "y = 2"])  # too deep for Python's parser
+    rows = [(i, deep if i % 12 == 0 else "def f():\n  pass\n\na b c" if i % 2 else None, "p" if i % 5 else None) for i in range(-90, 91)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalog.QUERIES["index_coverage"](spark, str(tmp_path)).select("file_id", "lines", "covered").collect()
+    assert sorted(map(tuple, got)) == sorted(own.execute(catalog.SQL["index_coverage"]).fetchall()) and len(got) > 90
+    want = own.execute(f"WITH {FILES_SQL} SELECT file_id, path, language, category FROM files ORDER BY file_id").fetchall()
+    assert [tuple(r) for r in tables.files(spark, str(tmp_path)).select("file_id", "path", "language", "category").orderBy("file_id").collect()] == want
